@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import decontam, mixing, rules
+from quern.llm import decontam, jaccard, mixing, rules, suffix
 from quern.sources.stage import stage
 
 
@@ -12,6 +12,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rules.keep_good(docs)
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard.drop_near_copies(docs)
+
+
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(docs)
+
+
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontam.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -20,7 +28,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(docs)
 
 
-STAGES = [("quality rules", quality), ("benchmark decontamination", decontaminate), ("mixing sources", mix)]
+STAGES = [("quality rules", quality), ("n-gram Jaccard join", near_copies), ("suffix-array dedup", repeats), ("benchmark decontamination", decontaminate), ("mixing sources", mix)]
 
 #: Suffix matches and linked components of all documents are beyond SQL; tests compare with brute force.
 ORACLE_SQL = None
