@@ -8,6 +8,7 @@ Where that is unset, a local session uses a temporary folder and any other one i
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -37,6 +38,8 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     if not _made:
         atexit.register(drop_stages)
     _made.append((spark, path))
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # lets Spark delete the shuffle files of plans that are done
     return spark.read.schema(df.schema).parquet(path)
 
 
