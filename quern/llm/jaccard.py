@@ -1,16 +1,19 @@
 """N-gram Jaccard join: links between documents whose shingle sets have a Jaccard similarity of 0.75 or more.
 
-1. Every document's set is hashed.  A count sketch of fixed size over all sets of all documents gives each
-   shingle a rarity; the order (sketch count, hash) is the same for all documents.
-2. The prefix filter: two linked sets share one of the first n - ceil(0.75 n) + 1 shingles in that order.
-   Documents with a common prefix shingle are candidates.  Of a shingle's documents each task passes on
-   one and links the others to it, so a shingle costs one row a task however frequent it is, and the
-   components of these star links are the candidate groups.
-3. Equal sets in a group are one class with one representative.  Groups are cut into tiles by size band
-   (bands a factor of 4/3 apart: links stay within a band or go to the next) and, where a band is large,
-   by hash.  In a tile, hashed bitmaps bound the overlap from above by a bit count, and only what passes
-   is intersected exactly; pairs whose documents are connected already are skipped.
-4. Large groups first link each tile and a few leaders of the neighbouring bands.  Documents outside the
+1. Every document's set is hashed.  In hash order, two linked sets share at least ``least(n)`` of their
+   first n - ceil(0.75 n) + least(n) shingles.  How many of these any other document has too is counted
+   exactly, by bucket of the hash; a shingle costs one row for a task however frequent it is there.
+   Documents with fewer shared ones than any partner would need have no link.  The others go on.
+2. Equal sets are one class with one representative.
+3. The representatives' shingles are counted, and each representative keeps its n - ceil(0.75 n) + 1 rarest.
+   Linked sets share one of these; of a shingle's documents each task passes on one and links the others
+   to it.  The components of these star links are the candidate groups.  Shared passages are frequent, so
+   they come last in this order and do not chain groups together.
+4. Groups are cut into tiles by size band (bands a factor of 4/3 apart: links stay within a band or go to
+   the next) and, where a band is large, by hash.  In a tile, hashed bitmaps bound the overlap from above
+   by a bit count, and only what passes is intersected exactly; pairs that are connected already are
+   skipped.
+5. Large groups first link each tile and a few leaders of the neighbouring bands.  Documents outside the
    largest class so far are then compared with all tiles of their own and the neighbouring bands.
    So no link between different texts is lost, and no all-pairs work is done inside a connected class.
 
@@ -21,6 +24,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,11 +35,10 @@ from quern.operators.joins import BROADCAST_ROWS
 from quern.sources.stage import stage
 
 SHINGLE = 5
-SKETCH_BITS = 17
 BITS = 2048
 TILE = 512
 LEADERS = 16
-FLUSH = 2_000_000  # prefix shingles that a task holds at once
+FLUSH = 1_000_000  # shingles that a task holds at once
 
 
 def need(a, b):
@@ -43,30 +46,110 @@ def need(a, b):
     return -((-3 * (a + b)) // 7)
 
 
-def rarity_sketch(docs: DataFrame, n: int = SHINGLE) -> np.ndarray:
-    """Counts of all distinct shingles of all documents by the leading bits of their hashes: 2**SKETCH_BITS numbers."""
+def least(n: int) -> int:
+    """Shared shingles that the counting prefix asks for."""
+    return 1 + n // 5
 
-    def count(batches):
-        cells = np.zeros(1 << SKETCH_BITS, np.int64)
+
+def part_number(flush: int) -> int:
+    """A number for what a task held at once; the same when the task is run again."""
+    return TaskContext.get().partitionId() << 24 | flush
+
+
+def bucketed(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Keys as bucket and 32 more bits.  Distinct keys may meet, which only makes one seem shared."""
+    return (keys >> np.uint64(40)) % np.uint64(buckets) << np.uint64(32) | keys & np.uint64(0xFFFFFFFF)
+
+
+def by_bucket(codes: np.ndarray, *columns: np.ndarray) -> list[tuple[int, bytes]]:
+    """(bucket, packed 32-bit keys and columns) of rows."""
+    order = np.argsort(codes, kind="stable")
+    codes = codes[order]
+    bucket = (codes >> np.uint64(32)).astype(np.int64)
+    cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])[: len(bucket)])
+    parts = [np.split(c[order].astype(np.int32), cut[1:]) for c in columns]
+    keys = np.split((codes & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32), cut[1:])
+    return [(int(bucket[k]), np.stack([keys[i], *[p[i] for p in parts]]).tobytes()) for i, k in enumerate(cut.tolist())]
+
+
+def packed_table(batches, columns: int):
+    """Codes, columns and the row's part of packed rows (bucket, part, packed)."""
+    codes, cols, parts = [], [[] for _ in range(columns)], []
+    for b in batches:
+        for bucket, part, packed in zip(b.column("bucket").to_pylist(), b.column("part").to_pylist(), b.column("packed").to_pylist()):
+            rows = np.frombuffer(packed, np.int32).reshape(1 + columns, -1)
+            codes.append(rows[0].view(np.uint32).astype(np.uint64) | np.uint64(bucket << 32))
+            for c, r in zip(cols, rows[1:]):
+                c.append(r)
+            parts.append(np.full(rows.shape[1], part, np.int64))
+    if not codes:
+        return np.zeros(0, np.uint64), [np.zeros(0, np.int32)] * columns, np.zeros(0, np.int64)
+    return np.concatenate(codes), [np.concatenate(c) for c in cols], np.concatenate(parts)
+
+
+def shared_rows(docs: DataFrame, buckets: int, n: int) -> DataFrame:
+    """Rows with bucket -1: a document, its place (part, place), set size and fingerprint, and shared prefix shingles so far; from 0: packed prefix shingles and places (-1: shared already)."""
+    schema = "bucket int, part long, place int, doc_id long, n long, fp_a long, fp_b long, shared long, packed binary"
+    types = pa.schema([("bucket", pa.int32()), ("part", pa.int64()), ("place", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("fp_a", pa.int64()), ("fp_b", pa.int64()), ("shared", pa.int64()), ("packed", pa.binary())])
+
+    def rows(**cols):
+        size = len(cols["bucket"])
+        return pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) if f.name in cols else pa.nulls(size, f.type) for f in types], schema=types)
+
+    def flush(number, ids, sums, keys, places):
+        part = part_number(number)
+        shared = np.zeros(len(ids), np.int64)
+        if keys:
+            k, x = np.concatenate(keys), np.concatenate(places)
+            order = np.argsort(k, kind="stable")
+            k, x = k[order], x[order]
+            head = np.concatenate([[True], k[1:] != k[:-1]])
+            many = np.bincount(np.cumsum(head) - 1)[np.cumsum(head) - 1] > 1
+            np.add.at(shared, x[many], 1)
+            sent = by_bucket(bucketed(k[head], buckets), np.where(many[head], -1, x[head]))
+            yield rows(bucket=[b for b, _ in sent], part=[part] * len(sent), packed=[p for _, p in sent])
+        yield rows(bucket=[-1] * len(ids), part=[part] * len(ids), place=list(range(len(ids))), doc_id=ids, n=[s[0] for s in sums], fp_a=np.array([s[1] for s in sums], np.uint64).view(np.int64), fp_b=np.array([s[2] for s in sums], np.uint64).view(np.int64), shared=shared)
+
+    def run(batches):
+        number, held = 0, 0
+        ids, sums, keys, places = [], [], [], []
         for b in pieces(batches):
-            sets = shingle_sets(texts_of(b), n)
-            cells += np.bincount((np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(cells))
-        part = cells.reshape(64, -1)
-        yield pa.RecordBatch.from_pydict({"chunk": pa.array(range(64), pa.int32()), "cells": pa.array([x.astype(np.int64).tobytes() for x in part], pa.binary())})
+            for i, s in zip(b.column("doc_id").to_pylist(), shingle_sets(texts_of(b), n)):
+                sums.append((len(s), int(np.bitwise_xor.reduce(s)), int((s * (s >> np.uint64(7) | np.uint64(1))).sum())) if len(s) else (0, 0, 0))
+                if len(s) and i is not None:
+                    p = len(s) - -(-3 * len(s) // 4) + least(len(s))
+                    keys.append(s[:p])
+                    places.append(np.full(p, len(ids), np.int64))
+                    held += p
+                ids.append(i)
+            if held >= FLUSH:
+                yield from flush(number, ids, sums, keys, places)
+                number, held = number + 1, 0
+                ids, sums, keys, places = [], [], [], []
+        if ids:
+            yield from flush(number, ids, sums, keys, places)
+
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
 
-    def add(batches):
-        sums: dict[int, np.ndarray] = {}
-        for b in batches:
-            for k, c in zip(b.column("chunk").to_pylist(), b.column("cells").to_pylist()):
-                c = np.frombuffer(c, np.int64)
-                sums[k] = sums[k] + c if k in sums else c
-        yield pa.RecordBatch.from_pydict({"chunk": pa.array(list(sums), pa.int32()), "cells": pa.array([x.tobytes() for x in sums.values()], pa.binary())})
 
-    out = np.zeros((64, (1 << SKETCH_BITS) // 64), np.int64)
-    rows = docs.select("text").mapInArrow(count, "chunk int, cells binary").repartition(16, "chunk").mapInArrow(add, "chunk int, cells binary")
-    for r in rows.toLocalIterator():
-        out[r["chunk"]] += np.frombuffer(r["cells"], np.int64)
-    return out.reshape(-1)
+def shared_elsewhere(packed: DataFrame) -> DataFrame:
+    """(part, place, shared): prefix shingles of a document that another part has too."""
+
+    def run(batches):
+        codes, (place,), part = packed_table(batches, 1)
+        order = np.argsort(codes, kind="stable")
+        codes, place, part = codes[order], place[order], part[order]
+        head = np.concatenate([[True], codes[1:] != codes[:-1]])[: len(codes)]
+        group = np.cumsum(head) - 1
+        live = (np.bincount(group)[group] > 1 if len(group) else np.zeros(0, bool)) & (place >= 0)
+        part, place = part[live], place[live]
+        order = np.lexsort((place, part))
+        part, place = part[order], place[order]
+        cut = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | (place[1:] != place[:-1])])[: len(part)])
+        counts = np.diff(np.concatenate([cut, [len(part)]]))
+        yield pa.RecordBatch.from_arrays([pa.array(part[cut]), pa.array(place[cut]), pa.array(counts.astype(np.int64))], names=["part", "place", "shared"])
+
+    return packed.repartition("bucket").select("bucket", "part", "packed").mapInArrow(run, "part long, place int, shared long")
 
 
 def star(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -84,52 +167,91 @@ def roots_only(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[nodes != roots], roots[nodes != roots]
 
 
-def prefix_rows(docs: DataFrame, sketch: np.ndarray, buckets: int, n: int = SHINGLE) -> DataFrame:
-    """Rows of three kinds (column ``bucket``): -1 a document with its set's size and fingerprint; -2 links; from 0 packed prefix shingles with one document each."""
-    cells = docs.sparkSession.sparkContext.broadcast(np.minimum(sketch, 2**24 - 1).astype(np.uint64))
-    schema = "bucket int, doc_id long, n long, fp_a long, fp_b long, packed binary"
-    types = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("fp_a", pa.int64()), ("fp_b", pa.int64()), ("packed", pa.binary())])
+def set_parts(docs: DataFrame, reps: DataFrame, n: int) -> DataFrame:
+    """(part, doc_id, elements) of the documents in ``reps``."""
+    wide = docs.select("doc_id", "text").join(F.broadcast(reps) if reps.count() <= BROADCAST_ROWS else reps, "doc_id", "left_semi")
+
+    def run(batches):
+        number, held = 0, 0
+        for b in pieces(batches):
+            sets = shingle_sets(texts_of(b), n)
+            yield pa.RecordBatch.from_arrays([pa.array([part_number(number)] * len(sets), pa.int64()), b.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["part", "doc_id", "elements"])
+            held += sum(map(len, sets))
+            if held >= FLUSH:
+                number, held = number + 1, 0
+
+    return wide.mapInArrow(run, "part long, doc_id long, elements binary")
 
-    def rows(**cols):
-        size = len(next(iter(cols.values())))
-        return pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) if f.name in cols else pa.nulls(size, f.type) for f in types], schema=types)
 
-    def flush(keys, nodes):
+def frequent_keys(sets: DataFrame, buckets: int, more_than: int = 2) -> DataFrame:
+    """(part, codes): for every part its shingles that more than ``more_than`` sets have, as packed codes and counts."""
+
+    def count(table: pa.Table) -> pa.Table:
+        k, c = np.unique(bucketed(np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("elements").to_pylist()]), buckets), return_counts=True)
+        sent = by_bucket(k, c)
+        part = table.column("part")[0].as_py()
+        return pa.table({"bucket": pa.array([b for b, _ in sent], pa.int32()), "part": pa.array([part] * len(sent), pa.int64()), "packed": pa.array([p for _, p in sent], pa.binary())})
+
+    def add(batches):
+        codes, (c,), part = packed_table(batches, 1)
+        order = np.argsort(codes, kind="stable")
+        codes, c, part = codes[order], c[order].astype(np.int64), part[order]
+        head = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]])[: len(codes)])
+        total = np.repeat(np.add.reduceat(c, head), np.diff(np.concatenate([head, [len(c)]]))) if len(c) else c
+        often = total > more_than
+        codes, total, part = codes[often], np.minimum(total[often], 2**31 - 1), part[often]
+        order = np.argsort(part, kind="stable")
+        codes, total, part = codes[order], total[order], part[order]
+        cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])[: len(part)])
+        packed = [np.stack([a.view(np.int64), t]).tobytes() for a, t in zip(np.split(codes, cut[1:]), np.split(total, cut[1:]))] if len(cut) else []
+        yield pa.RecordBatch.from_arrays([pa.array(part[cut], pa.int64()), pa.array(packed, pa.binary())], names=["part", "codes"])
+
+    sent = sets.groupBy("part").applyInArrow(count, "bucket int, part long, packed binary")
+    return sent.repartition("bucket").select("bucket", "part", "packed").mapInArrow(add, "part long, codes binary")
+
+
+def rarest_rows(sets: DataFrame, frequent: DataFrame, buckets: int) -> DataFrame:
+    """Rows with bucket -2: packed links; from 0: packed rare prefix shingles with one document each."""
+
+    def run(mine: pa.Table, known: pa.Table) -> pa.Table:
+        empty = pa.table({"bucket": pa.array([], pa.int32()), "packed": pa.array([], pa.binary())})
+        if not mine.num_rows:
+            return empty
+        lists = [np.frombuffer(x, np.int64).reshape(2, -1) for x in known.column("codes").to_pylist()]
+        codes = np.concatenate([x[0] for x in lists]).view(np.uint64) if lists else np.zeros(0, np.uint64)
+        often = np.concatenate([x[1] for x in lists]) if lists else np.zeros(0, np.int64)
+        order = np.argsort(codes)
+        codes, often = codes[order], often[order]
+        keys, nodes = [], []
+        for i, x in zip(mine.column("doc_id").to_pylist(), mine.column("elements").to_pylist()):
+            s = np.frombuffer(x, np.uint64)
+            if not len(s):
+                continue
+            count = np.zeros(len(s), np.int64)
+            if len(codes):
+                own = bucketed(s, buckets)
+                at = np.minimum(np.searchsorted(codes, own), len(codes) - 1)
+                count = np.where(codes[at] == own, often[at], 0)
+            p = len(s) - -(-3 * len(s) // 4) + 1
+            keys.append(s[np.lexsort((s, count))[:p]])
+            nodes.append(np.full(p, i, np.int64))
+        if not keys:
+            return empty
         u, v, k, x = star(np.concatenate(keys), np.concatenate(nodes))
+        out = []
         if len(u):
-            nodes_of, roots = local_roots(u, v)
-            moved = nodes_of != roots
-            yield rows(bucket=np.array([-2], np.int32), packed=[np.stack([nodes_of[moved], roots[moved]]).tobytes()])
-            at = np.minimum(np.searchsorted(nodes_of, x), len(nodes_of) - 1)
-            x = np.where(nodes_of[at] == x, roots[at], x)
-        to = (k >> np.uint64(8)) % np.uint64(buckets)
+            of, roots = local_roots(u, v)
+            out.append((-2, np.stack([of[of != roots], roots[of != roots]]).tobytes()))
+            at = np.minimum(np.searchsorted(of, x), len(of) - 1)
+            x = np.where(of[at] == x, roots[at], x)
+        to = (k >> np.uint64(40)) % np.uint64(buckets)
         order = np.argsort(to, kind="stable")
         k, x, to = k[order], x[order], to[order]
         cut = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
-        packed = [np.stack([a.view(np.int64), b]).tobytes() for a, b in zip(np.split(k, cut[1:]), np.split(x, cut[1:]))]
-        yield rows(bucket=to[cut].astype(np.int32), packed=packed)
+        out += [(int(to[c]), np.stack([a.view(np.int64), b]).tobytes()) for c, a, b in zip(cut, np.split(k, cut[1:]), np.split(x, cut[1:]))]
+        return pa.table({"bucket": pa.array([b for b, _ in out], pa.int32()), "packed": pa.array([b for _, b in out], pa.binary())})
 
-    def run(batches):
-        keys, nodes, held = [], [], 0
-        for b in pieces(batches):
-            sets = shingle_sets(texts_of(b), n)
-            ids = b.column("doc_id").to_pylist()
-            sums = [(len(s), int(np.bitwise_xor.reduce(s)) if len(s) else 0, int((s * (s >> np.uint64(7) | np.uint64(1))).sum()) if len(s) else 0) for s in sets]
-            yield rows(bucket=np.full(len(ids), -1, np.int32), doc_id=ids, n=[x[0] for x in sums], fp_a=np.array([x[1] for x in sums], np.uint64).view(np.int64), fp_b=np.array([x[2] for x in sums], np.uint64).view(np.int64))
-            for i, s in zip(ids, sets):
-                if len(s) and i is not None:
-                    p = len(s) - -(-3 * len(s) // 4) + 1
-                    rank = cells.value[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] << np.uint64(40) | s >> np.uint64(24)
-                    keys.append(s[np.argpartition(rank, p - 1)[:p]])
-                    nodes.append(np.full(p, i, np.int64))
-                    held += p
-            if held >= FLUSH:
-                yield from flush(keys, nodes)
-                keys, nodes, held = [], [], 0
-        if keys:
-            yield from flush(keys, nodes)
-
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return sets.groupBy("part").cogroup(frequent.groupBy("part")).applyInArrow(run, "bucket int, packed binary")
 
 
 def bucket_links(packed: DataFrame) -> DataFrame:
@@ -203,20 +325,6 @@ def tile_links(ids, sets, label, rows, cols) -> tuple[list[int], list[int]]:
     return u, v
 
 
-def set_rows(docs: DataFrame, reps: DataFrame, n: int = SHINGLE) -> DataFrame:
-    """(doc_id, its columns in reps, elements) of the documents in ``reps``."""
-    wide = docs.select("doc_id", "text").join(F.broadcast(reps) if reps.count() <= BROADCAST_ROWS else reps, "doc_id")
-    names = [c for c in reps.columns if c != "doc_id"]
-
-    def run(batches):
-        for b in pieces(batches):
-            sets = shingle_sets(texts_of(b), n)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[b.column(c) for c in names], pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", *names, "elements"])
-
-    kinds = dict(reps.dtypes)
-    return wide.mapInArrow(run, ", ".join(["doc_id long", *[f"{c} {kinds[c]}" for c in names], "elements binary"]))
-
-
 def verified(tiles: DataFrame, keys: list[str]) -> DataFrame:
     """Links of every tile; rows have doc_id, label, side (0: compared with all, 1: only with side 0) and elements."""
 
@@ -235,23 +343,28 @@ def verified(tiles: DataFrame, keys: list[str]) -> DataFrame:
 def linked_components(docs: DataFrame, n: int = SHINGLE, tile: int = TILE) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs``."""
     spark = docs.sparkSession
-    sketch = rarity_sketch(docs, n)
     buckets = 8 * max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = stage(prefix_rows(docs, sketch, buckets, n), "prefixes")
-    sets = rows.where("bucket = -1").select("doc_id", "n", "fp_a", "fp_b")
-    groups = stage(components(unpacked_links(rows.where("bucket = -2")).union(bucket_links(rows.where("bucket >= 0")))), "groups")
-
-    # classes of equal sets inside the groups; one representative each
-    members = sets.where("n > 0").join(groups.withColumnRenamed("node", "doc_id"), "doc_id")
-    classes = members.groupBy("root", "n", "fp_a", "fp_b").agg(F.min("doc_id").alias("rep"))
-    same = stage(members.join(classes, ["root", "n", "fp_a", "fp_b"]).select("doc_id", "rep").distinct(), "classes")
-    reps = classes.select(F.col("rep").alias("doc_id"), F.col("root").alias("group"), F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(4 / 3))).cast("int").alias("band"))
+    rows = stage(shared_rows(docs, buckets, n), "prefixes")
+    places = rows.where("bucket = -1").select("part", "place", "doc_id", "n", "fp_a", "fp_b", "shared")
+    more = shared_elsewhere(rows.where("bucket >= 0")).groupBy("part", "place").agg(F.sum("shared").alias("more"))
+    asked = 1 + F.floor(F.ceil(F.col("n") * 3 / 4) / 5)
+    alive = stage(places.where("n > 0 AND doc_id IS NOT NULL").join(more, ["part", "place"], "left").where(F.col("shared") + F.coalesce("more", F.lit(0)) >= asked).select("doc_id", "n", "fp_a", "fp_b"), "alive")
+
+    # classes of equal sets; one representative each
+    classes = stage(alive.groupBy("n", "fp_a", "fp_b").agg(F.min("doc_id").alias("rep")), "classes")
+    same = stage(alive.join(classes, ["n", "fp_a", "fp_b"]).select("doc_id", "rep").where("doc_id <> rep").distinct(), "same")
+    held = stage(set_parts(docs, classes.select(F.col("rep").alias("doc_id")).distinct(), n), "sets")
+    rare = stage(rarest_rows(held, frequent_keys(held, buckets), buckets), "rarest")
+    groups = stage(components(unpacked_links(rare.where("bucket = -2")).union(bucket_links(rare.where("bucket >= 0")))), "groups")
+
+    reps = classes.join(groups.withColumnRenamed("node", "rep"), "rep")
+    reps = reps.select(F.col("rep").alias("doc_id"), F.col("root").alias("group"), F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(4 / 3)) + 1e-9).cast("int").alias("band")).distinct()
     sized = reps.groupBy("group").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     bands = reps.join(sized, "group").groupBy("group", "band", "m").agg(F.count(F.lit(1)).alias("k"))
     cut = F.when(F.col("m") <= tile, 1).otherwise(F.ceil(F.col("k") / tile)).cast("int")
-    bands = bands.select("group", F.when(F.col("m") <= tile, -1).otherwise(F.col("band")).alias("tile_band"), "band", "m", "k", cut.alias("cut"))
-    reps = stage(reps.join(bands, ["group", "band"]).withColumn("sub", F.pmod(F.xxhash64("doc_id"), F.col("cut")).cast("int")).withColumn("lead", (F.col("m") > tile) & (F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.greatest(F.lit(1), F.floor(F.col("k") / LEADERS))) == 0)), "representatives")
-    held = stage(set_rows(docs, reps.select("doc_id", "group", "tile_band", "sub", "cut", "m", "lead").distinct(), n), "sets")
+    bands = bands.select("group", F.when(F.col("m") <= tile, -9).otherwise(F.col("band")).alias("tile_band"), "band", "m", "k", cut.alias("cut"))
+    reps = reps.join(bands, ["group", "band"]).withColumn("sub", F.pmod(F.xxhash64("doc_id"), F.col("cut")).cast("int")).withColumn("lead", (F.col("m") > tile) & (F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.greatest(F.lit(1), F.floor(F.col("k") / LEADERS))) == 0))
+    held = stage(held.join(reps.select("doc_id", "group", "tile_band", "sub", "cut", "m", "lead"), "doc_id"), "grouped")
 
     own = held.select("group", "tile_band", "sub", "doc_id", F.col("doc_id").alias("label"), F.lit(0).alias("side"), "elements")
     near = bands.where(F.col("m") > tile).select("group", F.col("tile_band").alias("to_band"), "cut").distinct()
@@ -272,9 +385,9 @@ def linked_components(docs: DataFrame, n: int = SHINGLE, tile: int = TILE) -> Da
         b = big.join(rest_cut, "group").where("abs(tile_band - rest_band) <= 1").select("group", "rest_band", F.explode(F.expr("sequence(0, rest_cut - 1)")).alias("rest_sub"), F.col("tile_band").alias("to_band"), "sub", "doc_id", "label", F.lit(1).alias("side"), "elements")
         links = links.union(stage(verified(a.union(b), ["group", "rest_band", "rest_sub", "to_band", "sub"]), "cross-links"))
 
-    final = components(links.union(same.where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))))
+    final = components(links.union(same.select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))))
     final = stage(final, "components").withColumnRenamed("node", "doc_id")
-    joined = sets.join(F.broadcast(final) if final.count() <= BROADCAST_ROWS else final, "doc_id", "left")
+    joined = places.join(F.broadcast(final) if final.count() <= BROADCAST_ROWS else final, "doc_id", "left")
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))
 
 
