@@ -33,6 +33,7 @@ from quern.sources.stage import stage
 LENGTH, GRAM = 400, 128
 HOT = 2_000
 BLOCK = 50  # bytes in a token of the sort
+CHUNK = 2 << 20  # bytes of contexts that a bucket sorts at once
 POSITION = 28  # bits
 
 
@@ -169,11 +170,21 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
 
     def match(batches):
         batches = [b for b in batches if b.num_rows]
-        if batches:
-            t = pa.Table.from_batches(batches).combine_chunks()
-            row, start, stop = repeated_windows(t.column("gram").to_numpy(), t.column("offset").to_numpy().astype(np.int64), t.column("bytes").to_pylist(), length)
-            at = pa.array(row)
-            yield pa.RecordBatch.from_arrays([t.column("gram").combine_chunks().take(at), t.column("context").combine_chunks().take(at), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32))], names=["gram", "context", "from", "to"])
+        if not batches:
+            return
+        t = pa.Table.from_batches(batches).combine_chunks()
+        t = t.take(pa.array(np.lexsort((t.column("gram").to_numpy(), t.column("token").to_numpy())))).combine_chunks()
+        grams = t.column("gram").to_numpy()
+        ends = np.flatnonzero(np.concatenate([grams[1:] != grams[:-1], [True]])) + 1  # of the grams' rows
+        size = np.cumsum(pc.binary_length(t.column("bytes")).to_numpy().astype(np.int64))
+        at = 0
+        while at < len(grams):  # whole grams, about CHUNK bytes at once
+            to = int(ends[min(np.searchsorted(ends, max(at + 1, np.searchsorted(size, (size[at - 1] if at else 0) + CHUNK))), len(ends) - 1)])
+            some = t.slice(at, to - at)
+            at = to
+            row, start, stop = repeated_windows(some.column("gram").to_numpy(), some.column("offset").to_numpy().astype(np.int64), some.column("bytes").to_pylist(), length)
+            rows = pa.array(row)
+            yield pa.RecordBatch.from_arrays([some.column("gram").combine_chunks().take(rows), some.column("context").combine_chunks().take(rows), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32))], names=["gram", "context", "from", "to"])
 
     def deal(batches):
         for b in batches:
