@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from quern.engine.normalize import normalize
 
@@ -39,13 +41,22 @@ class Catalogue:
         self.sql |= other.sql
 
 
+_schemas: dict[tuple[str, int], StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A stored table.  Its schema is read from the files once for each change time of the path."""
+    path = f"{sf_dir}/{name}.parquet"
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    changed = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(target).getModificationTime()
+    if (path, changed) not in _schemas:
+        _schemas[path, changed] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[path, changed]).parquet(path)
 
 
 def run_sql(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """A query over the tables that it names, which are read from ``sf_dir``."""
     for name in NAMES:
-        if name in sql:
+        if re.search(rf"\b{name}\b", sql):
             table(spark, sf_dir, name).createOrReplaceTempView(name)
     return spark.sql(normalize(sql))
