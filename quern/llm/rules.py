@@ -18,7 +18,7 @@ from quern.sources.stage import stage
 ACCURACY = 10_000
 #: Upper fence: quartile 3 plus SPREADS quartile distances, never below the floor of the ratio.
 SPREADS = 6.0
-FLOORS = {"mean_word": 14.0, "symbol_ratio": 0.1, "dup_line_ratio": 0.3, "repeat_ratio": 0.1}
+FLOORS = {"mean_word": 14.0, "symbol_ratio": 0.1, "dup_line_ratio": 0.4, "repeat_ratio": 0.2}
 GROUP = ["lang", "source"]
 
 
