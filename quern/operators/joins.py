@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows up to which a side may be broadcast; rows here are narrow, so this stays in the tens of MB.
-BROADCAST_ROWS = 200_000
+#: Rows of a few numbers or short strings up to which a side may be broadcast: some MB.
+BROADCAST_ROWS = 50_000
 
 
 def null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
