@@ -34,6 +34,7 @@ LENGTH, GRAM = 400, 128
 HOT = 2_000
 BLOCK = 50  # bytes in a token of the sort
 CHUNK = 2 << 20  # bytes of contexts that a bucket sorts at once
+LISTS = 5_000  # rows with arrays up to which a side may be broadcast
 POSITION = 28  # bits
 
 
@@ -135,8 +136,8 @@ def repeated_windows(grams: np.ndarray, offset: np.ndarray, texts: list[bytes],
     return spans_of(row[items], within[items] - offset[row[items]], length)
 
 
-def small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    return F.broadcast(df) if df.count() <= limit else df
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
@@ -165,7 +166,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
             parts = [texts[d][s:e] for d, s, e in zip(of.tolist(), lo.tolist(), (hi + length).tolist())]
             yield pa.RecordBatch.from_arrays([*[flat.column(c) for c in ("gram", "context", "token", "contexts")], pa.array((at - lo).astype(np.int32)), pa.array(parts, pa.binary())], names=["gram", "context", "token", "contexts", "offset", "bytes"])
 
-    texts = docs.select("doc_id", "text").join(small(wanted), "doc_id")
+    texts = docs.select("doc_id", "text").join(small(wanted, LISTS), "doc_id")
     cuts = stage(texts.mapInArrow(cut, "gram long, context long, token long, contexts long, offset int, bytes binary"), "context-bytes")
 
     def match(batches):
@@ -217,7 +218,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
 
 def apply_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes left) of every row of ``docs``."""
-    wide = docs.select("doc_id", "text").join(small(spans), "doc_id", "left")
+    wide = docs.select("doc_id", "text").join(small(spans, LISTS), "doc_id", "left")
 
     def run(batches):
         for b in pieces(batches):
@@ -246,7 +247,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """
     spans = repeated_spans(docs)
     names = docs.columns
-    wide = docs.join(small(spans.select(F.col("doc_id").alias("__id"), F.col("spans").alias("__spans"))), F.col("doc_id") == F.col("__id"), "left").drop("__id")
+    wide = docs.join(small(spans.select(F.col("doc_id").alias("__id"), F.col("spans").alias("__spans")), LISTS), F.col("doc_id") == F.col("__id"), "left").drop("__id")
 
     def run(batches):
         for b in pieces(batches):
