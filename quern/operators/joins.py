@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a few numbers or short strings up to which a side may be broadcast: some MB.
 BROADCAST_ROWS = 50_000
+#: Rows of one whole number up to which a side may be broadcast: about 40 bytes each.
+BROADCAST_IDS = 400_000
 
 
 def null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
