@@ -36,7 +36,7 @@ from quern.sources.stage import stage
 
 SHINGLE = 5
 BITS = 2048
-TILE = 512
+TILE = 224
 LEADERS = 16
 FLUSH = 1_000_000  # shingles that a task holds at once
 
@@ -122,7 +122,7 @@ def shared_rows(docs: DataFrame, buckets: int, n: int) -> DataFrame:
                     places.append(np.full(p, len(ids), np.int64))
                     held += p
                 ids.append(i)
-            if held >= FLUSH:
+            if held >= FLUSH or len(ids) >= FLUSH:
                 yield from flush(number, ids, sums, keys, places)
                 number, held = number + 1, 0
                 ids, sums, keys, places = [], [], [], []
@@ -133,7 +133,7 @@ def shared_rows(docs: DataFrame, buckets: int, n: int) -> DataFrame:
 
 
 def shared_elsewhere(packed: DataFrame) -> DataFrame:
-    """(part, place, shared): prefix shingles of a document that another part has too."""
+    """(part, counts): packed places of a part and how many prefix shingles of each another part has too; a row for each part and task at most."""
 
     def run(batches):
         codes, (place,), part = packed_table(batches, 1)
@@ -146,10 +146,30 @@ def shared_elsewhere(packed: DataFrame) -> DataFrame:
         order = np.lexsort((place, part))
         part, place = part[order], place[order]
         cut = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | (place[1:] != place[:-1])])[: len(part)])
-        counts = np.diff(np.concatenate([cut, [len(part)]]))
-        yield pa.RecordBatch.from_arrays([pa.array(part[cut]), pa.array(place[cut]), pa.array(counts.astype(np.int64))], names=["part", "place", "shared"])
+        count = np.diff(np.concatenate([cut, [len(part)]])).astype(np.int32)
+        part, place = part[cut], place[cut]
+        cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])[: len(part)])
+        rows = [np.stack([p, c]).tobytes() for p, c in zip(np.split(place, cut[1:]), np.split(count, cut[1:]))] if len(cut) else []
+        yield pa.RecordBatch.from_arrays([pa.array(part[cut], pa.int64()), pa.array(rows, pa.binary())], names=["part", "counts"])
+
+    return packed.repartition("bucket").select("bucket", "part", "packed").mapInArrow(run, "part long, counts binary")
+
+
+def alive_rows(places: DataFrame, counts: DataFrame) -> DataFrame:
+    """(doc_id, n, fp_a, fp_b) of the documents that share enough of their prefix to have a link."""
+
+    def run(mine: pa.Table, shared: pa.Table) -> pa.Table:
+        n = mine.column("n").to_numpy()
+        place = mine.column("place").to_numpy()
+        total = np.zeros(int(place.max()) + 1 if len(place) else 0, np.int64)
+        total[place] = mine.column("shared").to_numpy()
+        for x in shared.column("counts").to_pylist():
+            p, c = np.frombuffer(x, np.int32).reshape(2, -1)
+            total[p] += c
+        stay = (n > 0) & (total[place] >= least(-(-3 * n // 4))) & mine.column("doc_id").is_valid().to_numpy()
+        return mine.select(["doc_id", "n", "fp_a", "fp_b"]).filter(pa.array(stay))
 
-    return packed.repartition("bucket").select("bucket", "part", "packed").mapInArrow(run, "part long, place int, shared long")
+    return places.groupBy("part").cogroup(counts.groupBy("part")).applyInArrow(run, "doc_id long, n long, fp_a long, fp_b long")
 
 
 def star(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -346,9 +366,7 @@ def linked_components(docs: DataFrame, n: int = SHINGLE, tile: int = TILE) -> Da
     buckets = 8 * max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = stage(shared_rows(docs, buckets, n), "prefixes")
     places = rows.where("bucket = -1").select("part", "place", "doc_id", "n", "fp_a", "fp_b", "shared")
-    more = shared_elsewhere(rows.where("bucket >= 0")).groupBy("part", "place").agg(F.sum("shared").alias("more"))
-    asked = 1 + F.floor(F.ceil(F.col("n") * 3 / 4) / 5)
-    alive = stage(places.where("n > 0 AND doc_id IS NOT NULL").join(more, ["part", "place"], "left").where(F.col("shared") + F.coalesce("more", F.lit(0)) >= asked).select("doc_id", "n", "fp_a", "fp_b"), "alive")
+    alive = stage(alive_rows(places, shared_elsewhere(rows.where("bucket >= 0"))), "alive")
 
     # classes of equal sets; one representative each
     classes = stage(alive.groupBy("n", "fp_a", "fp_b").agg(F.min("doc_id").alias("rep")), "classes")
