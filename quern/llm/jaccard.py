@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from quern.llm.batches import pieces, texts_of
 from quern.llm.components import components, local_roots
 from quern.llm.hashing import shingle_sets
-from quern.operators.joins import BROADCAST_ROWS
+from quern.operators.joins import BROADCAST_IDS, BROADCAST_ROWS
 from quern.sources.stage import stage
 
 SHINGLE = 5
@@ -187,31 +187,34 @@ def roots_only(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[nodes != roots], roots[nodes != roots]
 
 
-def set_parts(docs: DataFrame, reps: DataFrame, n: int) -> DataFrame:
-    """(part, doc_id, elements) of the documents in ``reps``."""
-    wide = docs.select("doc_id", "text").join(F.broadcast(reps) if reps.count() <= BROADCAST_ROWS else reps, "doc_id", "left_semi")
+def set_parts(docs: DataFrame, reps: DataFrame, buckets: int, n: int) -> DataFrame:
+    """Rows with bucket -1: (part, doc_id, elements) of the documents in ``reps``; from 0: packed shingles of a part and how many of its sets have each."""
+    wide = docs.select("doc_id", "text").join(F.broadcast(reps) if reps.count() <= BROADCAST_IDS else reps, "doc_id", "left_semi")
+    types = pa.schema([("bucket", pa.int32()), ("part", pa.int64()), ("doc_id", pa.int64()), ("elements", pa.binary())])
+
+    def counts(part, sets):
+        k, c = np.unique(bucketed(np.concatenate(sets), buckets), return_counts=True)
+        sent = by_bucket(k, c)
+        return pa.RecordBatch.from_arrays([pa.array([b for b, _ in sent], pa.int32()), pa.array([part] * len(sent), pa.int64()), pa.nulls(len(sent), pa.int64()), pa.array([p for _, p in sent], pa.binary())], schema=types)
 
     def run(batches):
-        number, held = 0, 0
+        number, kept = 0, []
         for b in pieces(batches):
             sets = shingle_sets(texts_of(b), n)
-            yield pa.RecordBatch.from_arrays([pa.array([part_number(number)] * len(sets), pa.int64()), b.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["part", "doc_id", "elements"])
-            held += sum(map(len, sets))
-            if held >= FLUSH:
-                number, held = number + 1, 0
+            kept += [s for s in sets if len(s)]
+            yield pa.RecordBatch.from_arrays([pa.array([-1] * len(sets), pa.int32()), pa.array([part_number(number)] * len(sets), pa.int64()), b.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.binary())], schema=types)
+            if sum(map(len, kept)) >= FLUSH:
+                yield counts(part_number(number), kept)
+                number, kept = number + 1, []
+        if kept:
+            yield counts(part_number(number), kept)
 
-    return wide.mapInArrow(run, "part long, doc_id long, elements binary")
+    return wide.mapInArrow(run, "bucket int, part long, doc_id long, elements binary")
 
 
-def frequent_keys(sets: DataFrame, buckets: int, more_than: int = 2) -> DataFrame:
+def frequent_keys(packed: DataFrame, more_than: int = 2) -> DataFrame:
     """(part, codes): for every part its shingles that more than ``more_than`` sets have, as packed codes and counts."""
 
-    def count(table: pa.Table) -> pa.Table:
-        k, c = np.unique(bucketed(np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("elements").to_pylist()]), buckets), return_counts=True)
-        sent = by_bucket(k, c)
-        part = table.column("part")[0].as_py()
-        return pa.table({"bucket": pa.array([b for b, _ in sent], pa.int32()), "part": pa.array([part] * len(sent), pa.int64()), "packed": pa.array([p for _, p in sent], pa.binary())})
-
     def add(batches):
         codes, (c,), part = packed_table(batches, 1)
         order = np.argsort(codes, kind="stable")
@@ -226,8 +229,7 @@ def frequent_keys(sets: DataFrame, buckets: int, more_than: int = 2) -> DataFram
         packed = [np.stack([a.view(np.int64), t]).tobytes() for a, t in zip(np.split(codes, cut[1:]), np.split(total, cut[1:]))] if len(cut) else []
         yield pa.RecordBatch.from_arrays([pa.array(part[cut], pa.int64()), pa.array(packed, pa.binary())], names=["part", "codes"])
 
-    sent = sets.groupBy("part").applyInArrow(count, "bucket int, part long, packed binary")
-    return sent.repartition("bucket").select("bucket", "part", "packed").mapInArrow(add, "part long, codes binary")
+    return packed.repartition("bucket").select("bucket", "part", F.col("elements").alias("packed")).mapInArrow(add, "part long, codes binary")
 
 
 def rarest_rows(sets: DataFrame, frequent: DataFrame, buckets: int) -> DataFrame:
@@ -371,8 +373,9 @@ def linked_components(docs: DataFrame, n: int = SHINGLE, tile: int = TILE) -> Da
     # classes of equal sets; one representative each
     classes = stage(alive.groupBy("n", "fp_a", "fp_b").agg(F.min("doc_id").alias("rep")), "classes")
     same = stage(alive.join(classes, ["n", "fp_a", "fp_b"]).select("doc_id", "rep").where("doc_id <> rep").distinct(), "same")
-    held = stage(set_parts(docs, classes.select(F.col("rep").alias("doc_id")).distinct(), n), "sets")
-    rare = stage(rarest_rows(held, frequent_keys(held, buckets), buckets), "rarest")
+    sets = stage(set_parts(docs, stage(classes.select(F.col("rep").alias("doc_id")).distinct(), "rep-ids"), buckets, n), "sets")
+    held = sets.where("bucket = -1").drop("bucket")
+    rare = stage(rarest_rows(held, frequent_keys(sets.where("bucket >= 0")), buckets), "rarest")
     groups = stage(components(unpacked_links(rare.where("bucket = -2")).union(bucket_links(rare.where("bucket >= 0")))), "groups")
 
     reps = classes.join(groups.withColumnRenamed("node", "rep"), "rep")
@@ -413,7 +416,7 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose document has the smallest doc_id of its component, with all their columns."""
     found = linked_components(docs)
     gone = stage(found.where("component_id <> doc_id").select("doc_id").distinct(), "near-copies")
-    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
