@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.operators.joins import BROADCAST_ROWS
+from quern.operators.joins import BROADCAST_IDS, BROADCAST_ROWS
 from quern.sources.stage import stage
 
 WINDOW, GRAM = 13, 6
@@ -76,7 +76,7 @@ def item_hits(docs: DataFrame, bench: DataFrame, window: int = WINDOW, gram: int
 
     # extend: all windows of the documents that share a fingerprint, compared by their words
     ids = stage(seen.where("hit").select("doc_id").distinct(), "candidates")
-    near = docs.join(small_side(ids), "doc_id", "left_semi").select("doc_id", item_words(F.col("text")).alias("w"))
+    near = docs.join(small_side(ids, BROADCAST_IDS), "doc_id", "left_semi").select("doc_id", item_words(F.col("text")).alias("w"))
     lengths = F.array(*[F.lit(n) for n in [*short, window]])
     near = near.select("doc_id", "w", F.explode(lengths).alias("n"))
     hits = windows(near, ["doc_id"], F.col("n")).join(small_side(spans), ["span", "len"]).select("doc_id", "start", "len", "item_id")
@@ -107,7 +107,7 @@ def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW, gram:
 def drop_contaminated(docs: DataFrame, bench: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose document is not contaminated, with all their columns."""
     bad = stage(contamination(docs, bench).where("contaminated").select("doc_id").distinct(), "contaminated")
-    return docs.join(small_side(bad), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.join(small_side(bad, BROADCAST_IDS), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.text import words
-from quern.operators.joins import BROADCAST_ROWS, join_checked
+from quern.operators.joins import BROADCAST_IDS, join_checked
 from quern.sources.stage import stage
 
 ACCURACY = 10_000
@@ -101,7 +101,7 @@ def judge(docs: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose document is kept, with all their columns; of equal doc_ids all must be."""
     bad = stage(judge(docs).where("NOT kept").select(F.col("doc_id").alias("__bad_id")).distinct(), "rejected")
-    bad = F.broadcast(bad) if bad.count() <= BROADCAST_ROWS else bad
+    bad = F.broadcast(bad) if bad.count() <= BROADCAST_IDS else bad
     return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__bad_id")), "left_anti")
 
 
