@@ -18,6 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from quern.llm.hashing import LOWER, Prefix, join_texts
+
 PATH, WORD, EXTRA = 48, 12, 8
 INPUT = PATH + WORD + EXTRA
 HIDDEN = 24
@@ -134,19 +136,40 @@ def blocks_of(page: str) -> tuple[list[str], list[np.ndarray], list[float]]:
     return texts, paths, links
 
 
-def block_inputs(texts: list[str], paths: list[np.ndarray], links: list[float]) -> np.ndarray:
-    """The input vectors of a page's blocks."""
-    n = len(texts)
-    x = np.zeros((n, INPUT), np.float32)
-    x[:, :PATH] = paths
-    for i, t in enumerate(texts):
-        words = t[:400].split()[:24]  # the words' vector describes a block; its text is never cut
-        for w in words:
-            x[i, PATH : PATH + WORD] += hashed(w.strip(".,;:!?").lower()[:12], WORD)
-        x[i, PATH : PATH + WORD] /= max(1, len(words)) ** 0.5
-        size = len(t)
-        x[i, PATH + WORD :] = (min(2.0, np.log1p(size) / 4), links[i], min(1.0, size / 400), i / n, 1.0 if i == 0 else 0.0, 1.0 if i == n - 1 else 0.0, t.count(" ") / size * 4, 1.0 if t[-1] in ".!?\"" else 0.0)
-    return x
+_words = np.random.default_rng(3).standard_normal((4096, WORD)).astype(np.float32) / WORD**0.5
+_between = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])  # bytes that separate words
+
+
+def word_vectors(texts: list[str]) -> np.ndarray:
+    """For each text the sum of its hashed words' vectors over the root of their number."""
+    data, starts = join_texts([t.encode("utf-8", "surrogatepass") for t in texts])
+    data = LOWER[data]
+    edge = np.flatnonzero(np.diff(np.concatenate([[True], _between[data], [True]]).astype(np.int8)))
+    first, last = edge[0::2], edge[1::2]
+    row = np.searchsorted(starts, first, "right") - 1
+    v = _words[(Prefix(data).runs(first, last) % np.uint64(len(_words))).astype(np.int64)]
+    count = np.maximum(np.bincount(row, minlength=len(texts)), 1)
+    return np.stack([np.bincount(row, v[:, k], len(texts)) for k in range(WORD)], axis=1) / np.sqrt(count)[:, None]
+
+
+def block_inputs(pages: list[tuple[list[str], list[np.ndarray], list[float]]]) -> list[np.ndarray]:
+    """The input vectors of the blocks of each page."""
+    texts = [t for p in pages for t in p[0]]
+    if not texts:
+        return [np.zeros((0, INPUT), np.float32) for _ in pages]
+    n = np.array([len(p[0]) for p in pages])
+    ends = np.cumsum(n)
+    place = np.arange(len(texts)) - np.repeat(ends - n, n)
+    of = np.repeat(n, n)
+    size = np.fromiter(map(len, texts), np.float64, len(texts))
+    x = np.zeros((len(texts), INPUT), np.float32)
+    x[:, :PATH] = [v for p in pages for v in p[1]]
+    x[:, PATH : PATH + WORD] = word_vectors(texts)
+    blanks = np.fromiter((t.count(" ") for t in texts), np.float64, len(texts))
+    stops = np.fromiter((t[-1] in ".!?\"" for t in texts), np.float64, len(texts))
+    links = np.fromiter((v for p in pages for v in p[2]), np.float64, len(texts))
+    x[:, PATH + WORD :] = np.stack([np.minimum(2.0, np.log1p(size) / 4), links, np.minimum(1.0, size / 400), place / of, place == 0, place == of - 1, blanks / size * 4, stops], axis=1)
+    return np.split(x, ends[:-1])
 
 
 def sigmoid(x):
@@ -353,7 +376,7 @@ def made_page(rng: random.Random) -> tuple[str, list[bool]]:
 _trained: list[Labeller] = []
 
 
-def trained(pages: int = 1_200, seed: int = 11) -> Labeller:
+def trained(pages: int = 2_000, seed: int = 11) -> Labeller:
     """The labeller, trained once in a process on pages of the grammar."""
     if not _trained:
         rng = random.Random(seed)
@@ -362,9 +385,9 @@ def trained(pages: int = 1_200, seed: int = 11) -> Labeller:
             page, labels = made_page(rng)
             texts, paths, links = blocks_of(page)
             if texts and len(texts) == len(labels):
-                data.append((block_inputs(texts, paths, links), np.array(labels, np.float32)))
+                data.append(((texts, paths, links), np.array(labels, np.float32)))
         labeller = Labeller()
-        labeller.train(data)
+        labeller.train(list(zip(block_inputs([b for b, _ in data]), [y for _, y in data])))
         _trained.append(labeller)
     return _trained[0]
 
@@ -384,8 +407,7 @@ def extract(pages: DataFrame) -> DataFrame:
             for at in range(0, b.num_rows, 256):
                 some = b.slice(at, 256)
                 blocks = [blocks_of(h or "") for h in some.column("html").to_pylist()]
-                inputs = [block_inputs(*x) if x[0] else np.zeros((0, INPUT), np.float32) for x in blocks]
-                main = labeller.label(inputs)
+                main = labeller.label(block_inputs(blocks))
                 texts = [" ".join(t for t, keep in zip(x[0], m) if keep) for x, m in zip(blocks, main)]
                 yield pa.RecordBatch.from_arrays([some.column("page_id"), some.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array([len(x[0]) for x in blocks], pa.int64()), pa.array([int(m.sum()) for m in main], pa.int64())], names=["page_id", "url", "text", "n_chars", "n_blocks", "n_main"])
 
