@@ -150,11 +150,13 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
 
     mixed = live.where("NOT alike")
     reps = mixed.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("n"), F.min("token").alias("token"), F.min(F.struct("doc_id", "lo", "hi", "at")).alias("rep"))
-    many = reps.groupBy("gram").agg(F.count(F.lit(1)).alias("contexts"))
-    reps = stage(reps.join(many, "gram").select("gram", "context", "n", "token", "contexts", "rep.*"), "contexts")
+    reps = stage(reps.select("gram", "context", "n", "token", "rep.*"), "contexts")
+    many = stage(reps.groupBy("gram").agg(F.count(F.lit(1)).alias("contexts")).where(F.col("contexts") > hot).select("gram", F.lit(True).alias("hot")), "hot-grams")
+    spread = not many.isEmpty()
+    reps = reps.join(small(many), "gram", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     more = stage(reps.where("n > 1").select("gram", "context", F.lit(True).alias("full"), F.lit(0).alias("from"), F.lit(0).alias("to")), "full")
 
-    wanted = stage(reps.groupBy("doc_id").agg(F.collect_list(F.struct("gram", "context", "token", "contexts", "lo", "hi", "at")).alias("cuts")), "cuts")
+    wanted = stage(reps.groupBy("doc_id").agg(F.collect_list(F.struct("gram", "context", "token", "hot", "lo", "hi", "at")).alias("cuts")), "cuts")
 
     def cut(batches):
         for b in pieces(batches):
@@ -164,10 +166,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
             lo, hi, at = (flat.column(c).to_numpy() for c in ("lo", "hi", "at"))
             texts = texts_of(b)
             parts = [texts[d][s:e] for d, s, e in zip(of.tolist(), lo.tolist(), (hi + length).tolist())]
-            yield pa.RecordBatch.from_arrays([*[flat.column(c) for c in ("gram", "context", "token", "contexts")], pa.array((at - lo).astype(np.int32)), pa.array(parts, pa.binary())], names=["gram", "context", "token", "contexts", "offset", "bytes"])
+            yield pa.RecordBatch.from_arrays([*[flat.column(c) for c in ("gram", "context", "token", "hot")], pa.array((at - lo).astype(np.int32)), pa.array(parts, pa.binary())], names=["gram", "context", "token", "hot", "offset", "bytes"])
 
     texts = docs.select("doc_id", "text").join(small(wanted, LISTS), "doc_id")
-    cuts = stage(texts.mapInArrow(cut, "gram long, context long, token long, contexts long, offset int, bytes binary"), "context-bytes")
+    cuts = stage(texts.mapInArrow(cut, "gram long, context long, token long, hot boolean, offset int, bytes binary"), "context-bytes")
 
     def match(batches):
         batches = [b for b in batches if b.num_rows]
@@ -200,9 +202,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
             window = mix(Prefix(data).runs(begin, begin + length) + offset.astype(np.uint64))
             yield pa.RecordBatch.from_arrays([pa.array(window.view(np.int64)), *[t.column(c).combine_chunks().take(pa.array(row)) for c in ("gram", "context")], pa.array((-offset).astype(np.int32))], names=["window", "gram", "context", "from"])
 
-    found = cuts.where(F.col("contexts") <= hot).select("gram", "context", "token", "offset", "bytes").repartitionByRange("token", "gram").mapInArrow(match, "gram long, context long, from int, to int")
-    if not reps.where(F.col("contexts") > hot).isEmpty():
-        windows = stage(cuts.where(F.col("contexts") > hot).select("gram", "context", "offset", "bytes").mapInArrow(deal, "window long, gram long, context long, from int"), "hot-windows")
+    found = cuts.where("NOT hot").select("gram", "context", "token", "offset", "bytes").repartitionByRange("token", "gram").mapInArrow(match, "gram long, context long, from int, to int")
+    if spread:
+        windows = stage(cuts.where("hot").select("gram", "context", "offset", "bytes").mapInArrow(deal, "window long, gram long, context long, from int"), "hot-windows")
         twice = windows.groupBy("window", "gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
         dealt = windows.join(twice, ["window", "gram"]).groupBy("gram", "context").agg(F.array_sort(F.collect_list("from")).alias("p"))
         # runs of window starts: a start without a predecessor, and the last before the next such start
