@@ -1,9 +1,10 @@
 """Quality rules with adaptive thresholds.
 
-Fixed rules (``base_failed``) come first.  The other rules have no fixed cut-off: for every language and
-source a mergeable quantile summary of each ratio is built (partial summaries merge before and after the
-shuffle, so a hot source is pre-aggregated), fences are taken from its quartiles, and the documents are
-joined with the fences of their group.  NULL languages and sources are groups of their own.
+Fixed rules (``base_failed``) come first.  For the other rules a mergeable quantile summary of each ratio
+is built for every language and source (partial summaries merge before and after the shuffle, so a hot
+source is pre-aggregated), fences are taken from its quartiles, and the documents are joined with the
+fences of their group.  A fence is never below its floor, so quartiles can only loosen the fixed cut-offs
+in FLOORS; the README says how often they do.  NULL languages and sources are groups of their own.
 """
 
 from __future__ import annotations
