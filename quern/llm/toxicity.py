@@ -27,6 +27,8 @@ SAMPLE = 8_000
 FEATURES = 600
 BEGINNINGS = range(4, 9)
 REMEMBERED = 500_000
+#: Tokens over LONG characters are decoded in pieces twice as long, which overlap by LONG.
+LONG = 64
 
 #: What a sign may stand for in disguised words; fixed values.
 LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i"}
@@ -36,7 +38,11 @@ SUBSTITUTED, DROPPED, DIGIT_DROPPED, REPEATED, BLANK_DROPPED = 2.0, 1.0, 5.0, 0.
 SIGNS = "".join(map(re.escape, LOOKALIKES))
 #: A token with a letter and, before its last letter, a sign or digit; or three equal letters in a row.
 SUSPICIOUS = re.compile(rf"[^\W\d_].*(?:[{SIGNS}]|[\W\d_])+.*[^\W\d_]|^[{SIGNS}].*[^\W\d_]|[^\W\d_][{SIGNS}]+$|([^\W\d_])\1\1", re.S)
-SPACED = re.compile(r"(?:(?<=\s)|^)(?:[^\W_][^\w\s]?[ \t]+){2,}[^\W_](?=[^\w\s]?(?:\s|$))")
+#: Equal letters in a row; of other tokens, these are decoded where the same with single letters may be a known word.
+DOUBLED = re.compile(r"([^\W\d_])\1+")
+STRETCHED = re.compile(r"(.)\1{3,}", re.S)
+PARTS = re.compile(rf"[^\w{SIGNS}]+")
+SPACED = re.compile(r"(?:(?<=\s)|^)(?:[^\W_][^\w\s]?\s+){2,}[^\W_](?=[^\w\s]?(?:\s|$))")
 EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 WORDS = re.compile(r"[^\W\d_]+")
 
@@ -119,21 +125,64 @@ class Reader:
     def __init__(self, counts: np.ndarray, known: dict[str, int] | None = None):
         self.restorer, self.known = Restorer(counts), known
         self.seen: dict[str, tuple] = {}
+        self.single = {DOUBLED.sub(r"\1", n) for n in known or ()}
+        self.whole = [n for n in known or () if len(n) >= 5 and n[-1] != "*"]
 
     def names(self, word: str) -> list[str]:
         """A word and its beginnings as names of features."""
         return [word, *(word[:k] + "*" for k in BEGINNINGS if k < len(word))]
 
+    def forms(self, token: str, plain: str) -> set[str]:
+        """What is decoded of a token."""
+        doubled = DOUBLED.findall(plain)  # the letters
+        if SUSPICIOUS.search(token):
+            out = {token, plain}
+        elif doubled and self.may_be_known(plain):
+            out = {plain}
+        else:
+            return set()
+        if len(doubled) > 1:
+            out.add(DOUBLED.sub(r"\1", plain))
+        return out
+
+    def may_be_known(self, word: str) -> bool:
+        """False only if no choice of single or doubled letters gives a known word or beginning.
+
+        While words are learned none is known: ordinary words with doubled letters would only add copies of themselves.
+        """
+        word = DOUBLED.sub(r"\1", word)
+        return word in self.single or any(word[:k] + "*" in self.single for k in range(1, min(len(word), BEGINNINGS[-1]) + 1))
+
+    def decoded(self, token: str) -> set[str]:
+        """Names of the words and restored words of a token of bounded length."""
+        plain = EDGE.sub("", token).lower()
+        found = {n for w in WORDS.findall(plain) for n in self.names(w)}
+        for form in self.forms(token, plain):
+            found.update(n for w in self.restorer.restore(form).split() for n in self.names(w))
+        return found
+
+    def decoded_long(self, token: str) -> set[str]:
+        """The same in overlapping pieces, with the known words inside them; long runs of one character are cut to three."""
+        token = STRETCHED.sub(r"\1\1\1", token.lower())
+        found: set[str] = set()
+        for at in range(0, max(1, len(token) - LONG), LONG):
+            piece = token[at : at + 2 * LONG]
+            for part in {piece, *PARTS.split(piece)}:
+                found |= self.decoded(part)
+            glued = {piece, DOUBLED.sub(r"\1", piece)}
+            if SUSPICIOUS.search(piece) or DOUBLED.search(piece):
+                glued |= {self.restorer.restore(x) for x in glued}
+            found.update(n for n in self.whole if any(n in x for x in glued))
+        return found
+
     def token(self, token: str) -> tuple:
         got = self.seen.get(token)
         if got is None:
             if len(self.seen) >= REMEMBERED:
                 self.seen.clear()
-            plain = EDGE.sub("", token).lower()
-            found = {n for w in WORDS.findall(plain) for n in self.names(w)}
-            if len(token) <= 64 and SUSPICIOUS.search(token):
-                for form in {token, plain}:
-                    found.update(n for w in self.restorer.restore(form).split() for n in self.names(w))
+            found = self.decoded(token) if len(token) <= LONG else self.decoded_long(token)
+            if len(token) > LONG:  # words as they stand, which pieces may cut
+                found.update(n for w in WORDS.findall(token.lower()) for n in self.names(w))
             got = tuple(found) if self.known is None else tuple(self.known[n] for n in found if n in self.known)
             self.seen[token] = got
         return got
@@ -145,7 +194,7 @@ class Reader:
                 out.update(got)
         for m in SPACED.finditer(text):
             run = m.group()
-            if len(set(run.split())) < 3:  # one letter over and over
+            if len({c for c in run.lower() if c.isalnum()}) < 2:  # one letter over and over
                 continue
             for at in range(0, len(run), 120):  # overlapping pieces of long runs
                 part = run[max(0, at - 40) : at + 120]
@@ -153,7 +202,7 @@ class Reader:
                 for w in [*self.restorer.restore(part).split(), *self.restorer.restore(joined).split()]:
                     out.update(self.names(w) if self.known is None else (self.known[n] for n in self.names(w) if n in self.known))
                 if self.known is not None:
-                    out.update(k for n, k in self.known.items() if len(n) >= 5 and n[-1] != "*" and n in joined)
+                    out.update(self.known[n] for n in self.whole if n in joined)
         return out
 
 

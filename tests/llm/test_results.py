@@ -131,6 +131,26 @@ def test_disguised_words(spark):
     assert not any(got[2000 + k] for k in range(20))
 
 
+def test_disguises_at_the_gates():
+    """Long tokens, doubled letters, spaced runs over line ends or of two letters."""
+    import numpy as np
+
+    from quern.llm.langid import CODES, letter_codes
+
+    text = " " + "the idiot and the stupid moron said that a poop is good and well all see books " * 50
+    code = letter_codes()[np.frombuffer(text.encode("utf-32-le"), np.uint32)].astype(np.int64)
+    counts = np.bincount(code[:-2] * CODES**2 + code[1:-1] * CODES + code[2:], minlength=CODES**3)
+    words = ["idiot", "stupid", "moron", "poop"]
+    reader = toxicity.Reader(counts, {w: k for k, w in enumerate(words)})
+    found = lambda t: {words[k] for k in reader.features(t)}
+    for form in ("iidiioott", "IiDdIOT", "x" * 30 + "-1d10t-" + "y" * 30, "i" * 65 + "diot", "1d10t" + "".join(f"{k}/" for k in range(40)), "q" + "zk" * 60 + "idiot" + "vb" * 60, "i\nd\ni\no\nt", "i d\n\ni o t"):
+        assert "idiot" in found(form), form
+    for form in ("stuupid", "stuuppidd", "so-" + "stup1d" + "wzx" * 30):
+        assert "stupid" in found(form), form
+    assert "moron" in found("mmoorroonn") and "poop" in found("p o o p")
+    assert not found("good well all books") and not found("x x x x x") and not found("zk" * 60)
+
+
 def test_quality(spark):
     truth = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{DATA}/labels.parquet").collect()}
     got = [r for r in weaklabels.op6_quality_classifier(spark, DATA).collect() if r["doc_id"] in truth]
