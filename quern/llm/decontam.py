@@ -57,7 +57,7 @@ def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def item_hits(docs: DataFrame, bench: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n_words of every document; doc_id, start, len, item_id of every window of a document that is one of an item)."""
+    """(doc_id, n_words, n_rows of all documents, where n_rows of them share both; doc_id, start, len, item_id of every window of a document that is one of an item)."""
     hashed = lambda df: df.withColumn("g", gram_hashes(F.col("w"), gram))  # noqa: E731  a column, so that it is computed once
     items = stage(hashed(bench.select("item_id", item_words(F.col("text")).alias("w"))), "bench-words")
     own = F.least(F.lit(window), F.size("w"))
@@ -71,8 +71,9 @@ def item_hits(docs: DataFrame, bench: DataFrame, window: int = WINDOW, gram: int
 
     words_of = hashed(docs.select("doc_id", item_words(F.col("text")).alias("w")))
     marked = words_of.select("doc_id", F.size("w").cast("long").alias("n_words"), F.concat(prints, *lone).alias("h"))
-    seen = marked.select("doc_id", "n_words", F.explode_outer("h").alias("h")).join(small_side(marks.withColumn("hit", F.lit(True))), "h", "left")
-    seen = stage(seen.groupBy("doc_id", "n_words").agg(F.max(F.coalesce("hit", F.lit(False))).alias("hit")), "marked")
+    # the first hash of a row, or NULL if it has none, counts the row
+    seen = marked.select("doc_id", "n_words", F.posexplode_outer("h").alias("at", "h")).join(small_side(marks.withColumn("hit", F.lit(True))), "h", "left")
+    seen = stage(seen.groupBy("doc_id", "n_words").agg(F.max(F.coalesce("hit", F.lit(False))).alias("hit"), F.count_if(F.coalesce(F.col("at") == 0, F.lit(True))).alias("n_rows")), "marked")
 
     # extend: all windows of the documents that share a fingerprint, compared by their words
     ids = stage(seen.where("hit").select("doc_id").distinct(), "candidates")
@@ -86,8 +87,8 @@ def item_hits(docs: DataFrame, bench: DataFrame, window: int = WINDOW, gram: int
 def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
-    A NULL or empty text has no words and is clean; an item without words has no window.  Rows that
-    repeat a doc_id give one result for each number of words, with the hits of all of them.  A NULL
+    A NULL or empty text has no words and is clean; an item without words has no window.  Every
+    row of ``docs`` gives a row; those that repeat a doc_id have the hits of all of them.  A NULL
     doc_id is never hit.  Without items every document is clean; an empty table gives no rows.
     """
     seen, hits = item_hits(docs, bench, window, gram)
@@ -99,6 +100,7 @@ def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW, gram:
     found = hits.select("doc_id", F.col("item_id").cast("string").alias("item")).distinct().groupBy("doc_id").agg(F.sort_array(F.collect_list("item")).alias("items"))
     both = stage(covered.join(found, "doc_id"), "hit-docs").withColumnRenamed("doc_id", "id")
     out = seen.join(small_side(both), F.col("doc_id") == F.col("id"), "left")
+    out = out.withColumn("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_rows"))))
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     items = F.coalesce("items", F.array().cast("array<string>"))
     return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), ((n_hit > 0) & (n_hit * 20 >= F.col("n_words"))).alias("contaminated"))

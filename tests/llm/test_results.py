@@ -26,6 +26,22 @@ def test_sql_twins(spark, duck, query, sql):
     assert sorted(repr(tuple(r)) for r in df.collect()) == want
 
 
+def test_decontamination_keeps_every_row(spark, duck):
+    """Repeated rows and NULL doc_ids, with and without hits, as in SQL."""
+    item = " ".join(f"b{k}" for k in range(20))
+    data = [(1, f"x {item} y")] * 3 + [(1, "other text")] + [(None, f"one {item}")] * 2 + [(None, "two " + " ".join(f"c{k}" for k in range(20))), (None, None), (None, ""), (2, None), (2, None), (3, "short"), (3, "words")]
+    docs, bench = spark.createDataFrame(data, "doc_id long, text string"), spark.createDataFrame([(7, item)], "item_id long, text string")
+    got = decontam.contamination(docs, bench)
+    con = duck.cursor()
+    for name, rows_, of in (("documents", data, "doc_id BIGINT"), ("benchmark", [(7, item)], "item_id BIGINT")):
+        con.execute(f"CREATE TEMP TABLE {name} ({of}, text VARCHAR)")
+        con.executemany(f"INSERT INTO temp.{name} VALUES (?, ?)", rows_)
+    cursor = con.execute(decontam.OP8_SQL)
+    names = [d[0] for d in cursor.description]
+    want = sorted(repr(tuple(r[names.index(c)] for c in got.columns)) for r in cursor.fetchall())
+    assert sorted(repr(tuple(r)) for r in got.collect()) == want and len(want) == len(data)
+
+
 def made_documents():
     """Real texts, near copies of one, short and empty ones."""
     rng = random.Random(3)
