@@ -59,6 +59,13 @@ C.text("join_mixed_numeric_keys", "SELECT n_nationkey, c_custkey FROM nation JOI
 C.text("join_string_keys", "SELECT a.o_orderkey, b.n FROM orders a JOIN (SELECT o_orderpriority AS p, count(*) AS n FROM orders GROUP BY o_orderpriority) b ON a.o_orderpriority = b.p WHERE a.o_orderkey < 100")
 C.text("join_bigint_precision", "SELECT a.k AS a, b.k AS b FROM (SELECT o_orderkey + 9007199254740992 AS k FROM orders WHERE o_orderkey < 50) a JOIN (SELECT o_orderkey + 9007199254740993 AS k FROM orders WHERE o_orderkey < 50) b ON a.k = b.k")
 
+# the same joins without a range of ids, over whole tables
+C.text("join_full_whole", "SELECT a.k AS ak, b.k AS bk FROM (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'F') a FULL JOIN (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'O') b ON a.k = b.k")
+C.text("join_self_whole", "SELECT a.o_orderkey AS x, b.o_orderkey AS y FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderkey < b.o_orderkey")
+C.text("join_null_keys_whole", "SELECT a.k, count(*) AS n FROM (SELECT nullif(o_orderstatus, 'F') AS k FROM orders) a JOIN (SELECT DISTINCT nullif(o_orderstatus, 'F') AS k FROM orders) b ON a.k = b.k GROUP BY a.k")
+C.text("join_string_keys_whole", "SELECT a.o_orderkey, b.n FROM orders a JOIN (SELECT o_orderpriority AS p, count(*) AS n FROM orders GROUP BY o_orderpriority) b ON a.o_orderpriority = b.p")
+C.text("join_bigint_precision_whole", "SELECT a.k AS a, b.k AS b FROM (SELECT o_orderkey + 9007199254740992 AS k FROM orders) a JOIN (SELECT o_orderkey + 9007199254740993 AS k FROM orders) b ON a.k = b.k")
+
 # aggregation
 Q1_SQL = f"""SELECT l_returnflag, l_linestatus, {total(money('l_quantity'))} AS sum_qty, {total(money('l_extendedprice'))} AS sum_base_price, {total(REVENUE)} AS sum_disc_price,
   CAST(sum({REVENUE} * (1 + {money('l_tax')})) AS DOUBLE) AS sum_charge, round(avg(l_quantity), 6) AS avg_qty, round(avg(l_discount), 6) AS avg_disc, count(*) AS count_order
@@ -122,6 +129,7 @@ C.text("not_in_null", "SELECT count(*) AS n FROM nation WHERE n_nationkey NOT IN
 C.text("not_in_plain", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 30000)")
 C.text("exists_corr", "SELECT c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 90000)")
 C.text("not_exists_residual", "SELECT o.o_orderkey FROM orders o WHERE o.o_orderkey < 2000 AND NOT EXISTS (SELECT 1 FROM orders p WHERE p.o_custkey = o.o_custkey AND p.o_orderkey <> o.o_orderkey AND p.o_totalprice > o.o_totalprice)")
+C.text("not_exists_residual_whole", "SELECT o.o_orderkey FROM orders o WHERE NOT EXISTS (SELECT 1 FROM orders p WHERE p.o_custkey = o.o_custkey AND p.o_orderkey <> o.o_orderkey AND p.o_totalprice > o.o_totalprice)")
 C.text("corr_scalar_avg", "SELECT o_orderkey FROM orders o WHERE o_totalprice > (SELECT avg(p.o_totalprice) * 1.3 FROM orders p WHERE p.o_custkey = o.o_custkey)")
 C.text("corr_count_bug", "SELECT c_custkey, (SELECT count(*) FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 80000) AS n FROM customer c")
 C.text("corr_in_select", "SELECT n_name, (SELECT count(*) FROM supplier s WHERE s.s_nationkey = n.n_nationkey) AS n_supp FROM nation n")

@@ -30,3 +30,19 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_whole_tables(spark):
+    """Joins over whole tables against plain loops."""
+    orders = [(r["o_orderkey"], r["o_custkey"], r["o_totalprice"]) for r in spark.read.parquet(f"{DATA}/orders.parquet").collect()]
+    by: dict = {}
+    for key, customer, price in orders:
+        by.setdefault(customer, []).append((key, price))
+    links = sorted((a, b) for own in by.values() for a, _ in own for b, _ in own if a < b)
+    got = lambda name: sorted(map(tuple, CATALOGUE.queries[name](spark, DATA).collect()))
+    assert got("join_self_whole") == links and len(links) > len(got("join_self"))
+    assert got("not_exists_residual_whole") == sorted((k,) for own in by.values() for k, p in own if p == max(q for _, q in own))
+    assert [k for k, _ in got("join_string_keys_whole")] == sorted(k for k, _, _ in orders)
+    assert sum(n for _, n in got("join_null_keys_whole")) > sum(n for _, n in got("join_null_keys"))
+    assert len(got("join_bigint_precision_whole")) > len(got("join_bigint_precision"))
+    assert CATALOGUE.queries["join_full_whole"](spark, DATA).count() > CATALOGUE.queries["join_full"](spark, DATA).count()
