@@ -125,7 +125,8 @@ def sizes_of(docs: DataFrame) -> DataFrame:
 def mix_documents(docs: DataFrame, seed: str = SEED, **options) -> DataFrame:
     """The mix itself: every copy of a taken document with its columns, ``mix_shard`` and ``mix_order``.
 
-    Sort each shard by mix_order to get its local shuffle.  A NULL source is a source of its own, a NULL
+    The rows are laid out by shard and, as its local shuffle, by mix_order; a large shard may take several
+    partitions, in order.  A NULL source is a source of its own, a NULL
     or empty text has size 0 and goes with its block, rows that repeat a doc_id are taken alike, an
     empty table gives an empty mix.  Columns of ``docs`` named mix_shard or mix_order are replaced.
     """
@@ -133,7 +134,8 @@ def mix_documents(docs: DataFrame, seed: str = SEED, **options) -> DataFrame:
     kept = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("mix_shard", "mix_order")])
     out = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), kept.alias("doc"))
     out = with_copies(out, mix, seed).select("doc", "doc_id", F.posexplode("shards").alias("copy", "mix_shard"))
-    return out.select("doc.*", "mix_shard", md5_key(seed, "row", F.col("doc_id"), F.col("copy")).alias("mix_order"))
+    out = out.select("doc.*", "mix_shard", md5_key(seed, "row", F.col("doc_id"), F.col("copy")).alias("mix_order"))
+    return out.repartitionByRange("mix_shard", "mix_order").sortWithinPartitions("mix_shard", "mix_order")
 
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

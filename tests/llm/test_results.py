@@ -42,6 +42,12 @@ def test_decontamination_keeps_every_row(spark, duck):
     assert sorted(repr(tuple(r)) for r in got.collect()) == want and len(want) == len(data)
 
 
+def test_mix_is_shuffled(spark):
+    """Rows lie in the order of shard and mix_order, over all partitions."""
+    got = [(r["mix_shard"], r["mix_order"]) for r in mixing.mix_documents(documents(spark, ("doc_id", "text", "source"))).collect()]
+    assert len(got) > 100 and len({s for s, _ in got}) > 1 and got == sorted(got)
+
+
 def made_documents():
     """Real texts, near copies of one, short and empty ones."""
     rng = random.Random(3)
