@@ -10,6 +10,7 @@ import numpy as np
 
 _rng = np.random.default_rng(20240607)
 TABLE = _rng.integers(0, 2**64, 256, dtype=np.uint64) | np.uint64(1)
+TABLES = (TABLE, _rng.integers(0, 2**64, 256, dtype=np.uint64) | np.uint64(1))
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 2**64)
 SHINGLE_BASE = np.uint64(0xD6E8FEB86659FD93)
@@ -47,10 +48,12 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 class Prefix:
-    def __init__(self, data: np.ndarray):
+    """``table`` 1 gives fingerprints that are independent of those of table 0 in their byte values."""
+
+    def __init__(self, data: np.ndarray, table: int = 0):
         p, self.inverse = powers(len(data) + 1)
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(TABLE[data] * p[: len(data)], out=self.sums[1:])
+        np.cumsum(TABLES[table][data] * p[: len(data)], out=self.sums[1:])
 
     def runs(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         """Hashes of the runs [start, stop), by content and length."""

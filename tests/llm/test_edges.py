@@ -1,9 +1,12 @@
 """NULLs, empty and long texts, ties, repeated rows, empty tables, extra columns."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from quern.llm import blocks, decontam, jaccard, langid, mixing, rules, suffix, tokens, toxicity, weaklabels
+from tests.llm import brute
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = " ".join(f"word{k % 5000}" for k in range(60_000))
@@ -60,7 +63,7 @@ def test_values(tables):
     assert [got[k]["component_id"] for k in (1, 2, 3, 4, 5, 6, None)] == [1, 2, 3, 4, 5, 5, None]
     assert [got[k]["n_shingles"] for k in (1, 2, 3)] == [0, 0, 0]
     got = {r["doc_id"]: r for r in suffix.apply_spans(docs, suffix.repeated_spans(docs)).collect()}
-    assert got[5]["n_removed"] == got[5]["n_bytes"] == 600 and got[None]["n_removed"] == 0 and got[1]["n_bytes"] == 0
+    assert got[5]["n_removed"] == got[5]["n_bytes"] == 600 and got[None]["n_removed"] == 600 and got[1]["n_bytes"] == 0
     got = {r["doc_id"]: r for r in decontam.contamination(docs, bench).collect()}
     assert got[5]["n_hit"] == 120 and got[5]["contaminated"] and got[4]["n_hit"] == 12 * 20 and not got[4]["contaminated"] and got[1]["n_words"] == 0
     got = {r["doc_id"]: r for r in rules.judge(docs).collect()}
@@ -73,3 +76,25 @@ def test_pages_edges(spark):
     df = spark.createDataFrame([(1, None, "<b>" * 5000 + "x" + "</div>" * 5000), (1, None, "<p " + "a" * 50_000), (2, "u", "</p></p><article><p>&#x41;&am;</article>")], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
     assert blocks.extract(df).count() == 3
     assert blocks.extract(df.limit(0)).collect() == []
+
+
+def test_suffix_rows_of_one_id(spark):
+    """Unequal texts of one doc_id or without one, which share strings with others in differing contexts."""
+    shared = " ".join(f"s{k}" for k in range(160))
+    data = [(1, f"one {shared} end"), (1, "short"), (1, f"{'x' * 900} other {shared[:500]} y"), (None, f"null {shared} z"), (None, f"{shared[100:520]}"), (None, None), (2, "plain " * 20), (2, "tail " + "q" * 801)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    for hot in (1, 500):
+        got = [tuple(r) for r in suffix.apply_spans(df, suffix.repeated_spans(df, hot=hot)).drop("kept").collect()]
+        want = [(i, *row[1:]) for (i, _), row in zip(data, brute.repeated_bytes([(k, t) for k, (_, t) in enumerate(data)]))]
+        assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
+def test_suffix_long_texts_are_hashed_in_parts(spark, monkeypatch):
+    rng = random.Random(8)
+    shared = "".join(rng.choices("abcdef ", k=1500))
+    data = [(1, "p" * 37 + shared), (2, shared[:900] + "zz" * 600), (3, "".join(rng.choices("ghij", k=5000)))]
+    texts = [t.encode() for _, t in data]
+    monkeypatch.setattr(suffix, "SEGMENT", 700)
+    for t in texts:
+        starts = [at + p for at, part in suffix.segments(t, 400) for p in range(len(part) - 399)]
+        assert starts == list(range(len(t) - 399))

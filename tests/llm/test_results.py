@@ -100,7 +100,7 @@ def test_anchors_meet():
     rng = random.Random(2)
     shared = bytes(rng.randrange(97, 123) for _ in range(450))
     a, b = b"q" * 333 + shared + b"z" * 200, shared[:420] + b"w" * 300
-    d, lo, hi, at, _, gram, _ = suffix.anchors_of([a, b])
+    d, lo, hi, at, gram, _, _ = suffix.anchors_of([a, b])
     of = lambda doc, p: next((int(x - p), int(g)) for i, l, h, x, g in zip(d, lo, hi, at, gram) if i == doc and l <= p <= h)
     for p in range(21):
         assert of(0, 333 + p) == of(1, p)
