@@ -1,10 +1,18 @@
 """Quality rules with adaptive thresholds.
 
-Fixed rules (``base_failed``) come first.  For the other rules a mergeable quantile summary of each ratio
-is built for every language and source (partial summaries merge before and after the shuffle, so a hot
-source is pre-aggregated), fences are taken from its quartiles, and the documents are joined with the
-fences of their group.  A fence is never below its floor, so quartiles can only loosen the fixed cut-offs
-in FLOORS; the README says how often they do.  NULL languages and sources are groups of their own.
+Fixed rules (``base_failed``) come first.  For the other rules mergeable quantile summaries of every
+measure are built for each language and source, each language and the whole (partial summaries merge
+before and after the shuffle, so a hot source is pre-aggregated).  Limits are the quartiles of a
+document's own group plus SPREADS times its spread; no limit is a constant:
+
+* quartiles of a group are shrunk to those of its language, and these to those of the whole, by PRIOR
+  documents, so that small or one-sided groups lean on the larger ones;
+* the spread is the distance of the quartiles and the measure's own grain in the group (one symbol, one
+  repeated line or one repeated five-word window in a document of median length), so it is never zero;
+* the mean word length has a limit on both sides, which is wider for documents shorter than the median,
+  as the spread of a mean is; one symbol, repeated line or window alone is never too many.
+
+NULL languages and sources are groups of their own.
 """
 
 from __future__ import annotations
@@ -17,9 +25,11 @@ from quern.operators.joins import BROADCAST_IDS, join_checked
 from quern.sources.stage import stage
 
 ACCURACY = 10_000
-#: Upper fence: quartile 3 plus SPREADS quartile distances, never below the floor of the ratio.
 SPREADS = 6.0
-FLOORS = {"mean_word": 14.0, "symbol_ratio": 0.1, "dup_line_ratio": 0.4, "repeat_ratio": 0.2}
+PRIOR = 16
+#: Measures whose quartiles and medians are summarised.
+QUARTILES = ("mean_word", "symbol_ratio", "dup_line_ratio", "repeat_ratio")
+MEDIANS = ("n_words", "n_lines")
 GROUP = ["lang", "source"]
 
 
@@ -50,12 +60,13 @@ def covered_words(grams: Column, n: int = 5) -> Column:
 
 
 def measures(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed."""
+    """doc_id, lang, source, a and b (128 bits of text, lang and source), n_words, word_chars, n_symbols, n_dup_lines, n_lines, n_repeat_words, base_failed."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    out = docs.select("doc_id", "lang", "source", text.alias("text"), words(F.col("text")).alias("w"))
+    key = lambda *salt: F.xxhash64(*salt, text, *GROUP)
+    out = docs.select("doc_id", "lang", "source", text.alias("text"), words(F.col("text")).alias("w"), key().alias("a"), key(F.lit(1)).alias("b"))
     lines = F.filter(F.split(F.col("text"), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     out = out.select(
-        "doc_id", "lang", "source",
+        "doc_id", "lang", "source", "a", "b",
         F.size("w").cast("long").alias("n_words"),
         (F.char_length("text") - F.regexp_count("text", F.lit(r"[\x20\x09-\x0D]"))).cast("long").alias("word_chars"),
         F.regexp_count("text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
@@ -77,33 +88,64 @@ def ratios() -> dict[str, Column]:
     }
 
 
-def fences(measured: DataFrame) -> DataFrame:
-    """For each language and source the upper fence of every ratio, from the documents that pass the fixed rules."""
-    rows = measured.where("NOT base_failed").select(*GROUP, *[r.alias(k) for k, r in ratios().items()])
-    quart = rows.groupBy(*GROUP).agg(*[F.percentile_approx(k, [0.25, 0.75], ACCURACY).alias(k) for k in FLOORS])
-    fence = lambda k: F.greatest(F.lit(FLOORS[k]), F.get(k, F.lit(1)) + SPREADS * (F.get(k, F.lit(1)) - F.get(k, F.lit(0))))
-    return quart.select(*GROUP, *[fence(k).alias(f"max_{k}") for k in FLOORS])
+def summaries(rows: DataFrame, by: list[str]) -> DataFrame:
+    """by, docs, and for every measure its quantiles (quartiles 1 and 3, or the median) as columns."""
+    points = {k: [0.25, 0.75] for k in QUARTILES} | {k: [0.5] for k in MEDIANS}
+    out = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("docs"), *[F.percentile_approx(k, p, ACCURACY).alias(k) for k, p in points.items()])
+    return out.select(*by, "docs", *[F.get(k, F.lit(i)).cast("double").alias(f"{k}{i}") for k, p in points.items() for i in range(len(p))])
+
+
+def shrunk(own: DataFrame, parent: DataFrame, by: list[str]) -> DataFrame:
+    """``own`` with each quantile drawn to the parent's (without ``by``: one row), which counts as PRIOR documents."""
+    names = [c for c in own.columns if c not in (*GROUP, "docs")]
+    if by:
+        both = join_checked(own, parent.select(*by, *[F.col(c).alias(f"up_{c}") for c in names]), by)
+    else:
+        row = parent.first()
+        both = own.select("*", *[F.lit(row[c]).cast("double").alias(f"up_{c}") for c in names])
+    return both.select(*[c for c in own.columns if c not in names], *[((F.col("docs") * F.col(c) + PRIOR * F.col(f"up_{c}")) / (F.col("docs") + PRIOR)).alias(c) for c in names])
+
+
+def limits(measured: DataFrame) -> DataFrame:
+    """For each language and source the limits of its documents, from the documents that pass the fixed rules.
+
+    low, high: quartiles of the mean word length; per_root: what to add to or take from them for a document
+    of ``long`` words or more; symbols, lines, repeats: the largest shares.
+    """
+    rows = measured.where("NOT base_failed").select(*GROUP, *[r.alias(k) for k, r in ratios().items()], *MEDIANS)
+    lang = stage(shrunk(summaries(rows, ["lang"]), summaries(rows, []), []), "limits-lang")
+    own = shrunk(summaries(rows, GROUP), lang, ["lang"])
+    wide = lambda k, unit: F.col(f"{k}1") - F.col(f"{k}0") + unit
+    share = lambda k, unit: F.col(f"{k}1") + SPREADS * wide(k, unit)
+    n, m = F.greatest(F.col("n_words0"), F.lit(1.0)), F.greatest(F.col("n_lines0"), F.lit(1.0))
+    own = own.select(*GROUP, F.col("mean_word0").alias("low"), F.col("mean_word1").alias("high"), (SPREADS * wide("mean_word", F.lit(1.0) / F.sqrt(n))).alias("per_root"), n.alias("long"), share("symbol_ratio", F.lit(1.0) / n).alias("symbols"), share("dup_line_ratio", F.lit(1.0) / m).alias("lines"), share("repeat_ratio", F.lit(10.0) / n).alias("repeats"))
+    return stage(own, "limits", [lang])
 
 
 def judge(docs: DataFrame) -> DataFrame:
     """The measures of every document and ``kept``.
 
-    A NULL or empty text has no words and fails.  A group without a passing document has no fences, and
+    A NULL or empty text has no words and fails.  A group without a passing document has no limits, and
     none of its documents is kept.  Rows that repeat a doc_id are judged each; an empty table gives none.
     """
     measured = stage(measures(docs), "rules")
-    out = join_checked(measured, stage(fences(measured), "fences"), GROUP, "left")
-    passes = ~F.col("base_failed")
-    for k, r in ratios().items():
-        passes = passes & F.coalesce(r <= F.col(f"max_{k}"), F.lit(False))
-    return out.withColumn("kept", passes)
+    out = join_checked(measured, limits(measured), GROUP, "left")
+    n = F.greatest(F.col("n_words"), F.lit(1))
+    mean = F.col("word_chars") / n
+    room = F.col("per_root") * F.greatest(F.lit(1.0), F.sqrt(F.col("long") / n))
+    fits = (mean <= F.col("high") + room) & (mean >= F.col("low") - room)
+    for count, alone, share, of in (("n_symbols", 1, "symbols", n), ("n_dup_lines", 1, "lines", F.greatest(F.col("n_lines"), F.lit(1))), ("n_repeat_words", 10, "repeats", n)):
+        fits = fits & (F.col(count) - alone <= F.col(share) * of)
+    return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(fits, F.lit(False)))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose document is kept, with all their columns; of equal doc_ids all must be."""
-    bad = stage(judge(docs).where("NOT kept").select(F.col("doc_id").alias("__bad_id")).distinct(), "rejected")
+    """The rows of ``docs`` that are kept, with all their columns; rows are known by 128 bits of what they are judged by."""
+    key = lambda *salt: F.xxhash64(*salt, F.coalesce("text", F.lit("")), *GROUP)
+    bad = judge(docs).where("NOT kept").select(F.col("a").alias("__a"), F.col("b").alias("__b")).distinct()
+    bad = stage(bad, "rejected")
     bad = F.broadcast(bad) if bad.count() <= BROADCAST_IDS else bad
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__bad_id")), "left_anti")
+    return docs.join(bad, (key() == F.col("__a")) & (key(F.lit(1)) == F.col("__b")), "left_anti")
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,10 +168,18 @@ m AS (SELECT w.r, doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words,
              CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words
       FROM w LEFT JOIN c ON w.r = c.r),
 b AS (SELECT *, n_words < 10 OR n_repeat_words * 100 > n_words * 20 AS base_failed, word_chars / greatest(n_words, 1) AS mw, n_symbols / greatest(n_words, 1) AS sr,
-             n_dup_lines / greatest(n_lines, 1) AS dl, n_repeat_words / greatest(n_words, 1) AS rr FROM m),
-f AS (SELECT lang, source, """ + ", ".join(f"greatest(CAST({FLOORS[k]} AS DOUBLE), quantile_disc({s}, 0.75) + {SPREADS} * (quantile_disc({s}, 0.75) - quantile_disc({s}, 0.25))) AS f{s}" for k, s in zip(FLOORS, ("mw", "sr", "dl", "rr"))) + """
-      FROM b WHERE NOT base_failed GROUP BY lang, source)
+             n_dup_lines / greatest(n_lines, 1) AS dl, n_repeat_words / greatest(n_words, 1) AS rr, greatest(n_words, 1) AS nw, greatest(n_lines, 1) AS nl FROM m),
+""" + "".join(
+    f"{t} AS (SELECT {by}count(*) AS docs, " + ", ".join([f"quantile_disc({k}, {p}) AS {k}{i}" for k in ("mw", "sr", "dl", "rr") for i, p in enumerate((0.25, 0.75))] + [f"CAST(quantile_disc({k}, 0.5) AS DOUBLE) AS {k}0" for k in ("nw", "nl")]) + f" FROM b WHERE NOT base_failed{group}),\n"
+    for t, by, group in (("qa", "", ""), ("ql", "lang, ", " GROUP BY lang"), ("qg", "lang, source, ", " GROUP BY lang, source"))
+) + "".join(
+    f"{t} AS (SELECT {by}" + ", ".join(f"(o.docs * o.{q} + {PRIOR} * u.{q}) / (o.docs + {PRIOR}) AS {q}" for q in ("mw0", "mw1", "sr0", "sr1", "dl0", "dl1", "rr0", "rr1", "nw0", "nl0")) + f" FROM {own} o JOIN {up} u ON {on}),\n"
+    for t, by, own, up, on in (("sl", "o.lang, ", "ql", "qa", "true"), ("sg", "o.lang, o.source, ", "qg", "sl", "o.lang IS NOT DISTINCT FROM u.lang"))
+) + f"""f AS (SELECT *, greatest(nw0, 1.0::DOUBLE) AS n0, greatest(nl0, 1.0::DOUBLE) AS m0 FROM sg),
+l AS (SELECT lang, source, mw0, mw1, {SPREADS}::DOUBLE * (mw1 - mw0 + 1.0::DOUBLE / sqrt(n0)) AS per_root, n0, sr1 + {SPREADS}::DOUBLE * (sr1 - sr0 + 1.0::DOUBLE / n0) AS symbols,
+             dl1 + {SPREADS}::DOUBLE * (dl1 - dl0 + 1.0::DOUBLE / m0) AS lines, rr1 + {SPREADS}::DOUBLE * (rr1 - rr0 + 10.0::DOUBLE / n0) AS repeats FROM f)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND coalesce(mw <= fmw AND sr <= fsr AND dl <= fdl AND rr <= frr, false) AS kept
-FROM b LEFT JOIN f ON b.lang IS NOT DISTINCT FROM f.lang AND b.source IS NOT DISTINCT FROM f.source
+       NOT base_failed AND coalesce(mw <= mw1 + per_root * greatest(1.0::DOUBLE, sqrt(n0 / nw)) AND mw >= mw0 - per_root * greatest(1.0::DOUBLE, sqrt(n0 / nw))
+         AND n_symbols - 1 <= symbols * nw AND n_dup_lines - 1 <= lines * nl AND n_repeat_words - 10 <= repeats * nw, false) AS kept
+FROM b LEFT JOIN l ON b.lang IS NOT DISTINCT FROM l.lang AND b.source IS NOT DISTINCT FROM l.source
 """

@@ -5,6 +5,7 @@ import random
 import pytest
 
 from quern.llm import batches, blocks, decontam, jaccard, langid, mixing, rules, suffix, tokens, toxicity, weaklabels
+from quern.sources.stage import stage
 from tests.conftest import DATA
 from tests.llm import brute
 
@@ -26,6 +27,25 @@ def test_sql_twins(spark, duck, query, sql):
     assert sorted(repr(tuple(r)) for r in df.collect()) == want
 
 
+def test_limits_follow_the_group(spark):
+    """The same text is kept where its measures are usual and dropped where they are not; limits differ by group."""
+    rng = random.Random(5)
+    plain = lambda: " ".join("".join(rng.choices("abcdefgh", k=rng.randint(3, 6))) for _ in range(200))
+    marked = lambda: " ".join(w + ("#" if rng.random() < 0.3 else "") for w in plain().split())
+    long_ = lambda: " ".join("".join(rng.choices("abcdefgh", k=rng.randint(11, 16))) for _ in range(200))
+    rows_ = [(k, plain(), "en", "prose") for k in range(300)] + [(1000 + k, marked(), "en", "code") for k in range(300)] + [(2000 + k, long_(), "de", "prose") for k in range(300)]
+    odd, wide = marked(), long_()
+    rows_ += [(5000, odd, "en", "prose"), (5001, odd, "en", "code"), (5002, wide, "en", "prose"), (5003, wide, "de", "prose"), (5004, plain(), "de", "prose"), (5005, "one # symbol in a short text is not yet too many", "en", "prose")]
+    got = {r["doc_id"]: r["kept"] for r in rules.judge(spark.createDataFrame(rows_, "doc_id long, text string, lang string, source string")).collect()}
+    assert [got[k] for k in range(5000, 5006)] == [False, True, False, True, False, True]
+    assert sum(got[k] for k in (*range(300), *range(1000, 1300), *range(2000, 2300))) == 900
+
+
+def test_limits_are_no_constants(spark):
+    found = rules.limits(stage(rules.measures(spark.read.parquet(f"{DATA}/documents.parquet")), "rules")).drop("lang", "source")
+    assert found.distinct().count() >= 0.9 * found.count() > 10  # of small groups some may be alike
+
+
 def test_decontamination_keeps_every_row(spark, duck):
     """Repeated rows and NULL doc_ids, with and without hits, as in SQL."""
     item = " ".join(f"b{k}" for k in range(20))
