@@ -28,11 +28,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.batches import pieces, texts_of
 from quern.llm.hashing import Prefix, join_texts, mix
+from quern.llm.text import text_key
 from quern.operators.joins import BROADCAST_IDS, BROADCAST_ROWS
 from quern.sources.stage import stage
 
@@ -45,11 +46,6 @@ KEY = ["ka", "kb"]
 SAME = ["gram", "c1", "c2"]
 
 
-def text_key(text: Column) -> list[Column]:
-    text = F.coalesce(text, F.lit(""))
-    return [F.xxhash64(text).alias("ka"), F.xxhash64(F.lit(1), text).alias("kb")]
-
-
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     """The minimum of every w consecutive elements."""
     n = len(x) - w + 1

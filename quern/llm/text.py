@@ -23,3 +23,9 @@ def md5_key(*parts: Column | str) -> Column:
     """A 60-bit number from the MD5 of the parts joined by ':' (NULL: 'null'), the same in any SQL engine."""
     shown = [F.lit(p) if isinstance(p, str) else F.coalesce(p.cast("string"), F.lit("null")) for p in parts]
     return F.conv(F.substring(F.md5(F.concat_ws(":", *shown)), 1, 15), 16, 10).cast("long")
+
+
+def text_key(text: Column) -> list[Column]:
+    """Two longs, ka and kb: 128 bits of a text, by which rows are known whose result depends on the text alone."""
+    text = F.coalesce(text, F.lit(""))
+    return [F.xxhash64(text).alias("ka"), F.xxhash64(F.lit(1), text).alias("kb")]
