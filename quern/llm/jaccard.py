@@ -367,16 +367,17 @@ def linked_components(docs: DataFrame, n: int = SHINGLE, tile: int = TILE) -> Da
     spark = docs.sparkSession
     buckets = 8 * max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = stage(shared_rows(docs, buckets, n), "prefixes")
-    places = rows.where("bucket = -1").select("part", "place", "doc_id", "n", "fp_a", "fp_b", "shared")
-    alive = stage(alive_rows(places, shared_elsewhere(rows.where("bucket >= 0"))), "alive")
+    places = stage(rows.where("bucket = -1").select("part", "place", "doc_id", "n", "fp_a", "fp_b", "shared"), "places")
+    alive = stage(alive_rows(places, shared_elsewhere(rows.where("bucket >= 0"))), "alive", [rows])
 
     # classes of equal sets; one representative each
     classes = stage(alive.groupBy("n", "fp_a", "fp_b").agg(F.min("doc_id").alias("rep")), "classes")
-    same = stage(alive.join(classes, ["n", "fp_a", "fp_b"]).select("doc_id", "rep").where("doc_id <> rep").distinct(), "same")
-    sets = stage(set_parts(docs, stage(classes.select(F.col("rep").alias("doc_id")).distinct(), "rep-ids"), buckets, n), "sets")
+    same = stage(alive.join(classes, ["n", "fp_a", "fp_b"]).select("doc_id", "rep").where("doc_id <> rep").distinct(), "same", [alive])
+    ids = stage(classes.select(F.col("rep").alias("doc_id")).distinct(), "rep-ids")
+    sets = stage(set_parts(docs, ids, buckets, n), "sets", [ids])
     held = sets.where("bucket = -1").drop("bucket")
     rare = stage(rarest_rows(held, frequent_keys(sets.where("bucket >= 0")), buckets), "rarest")
-    groups = stage(components(unpacked_links(rare.where("bucket = -2")).union(bucket_links(rare.where("bucket >= 0")))), "groups")
+    groups = stage(components(unpacked_links(rare.where("bucket = -2")).union(bucket_links(rare.where("bucket >= 0")))), "groups", [rare])
 
     reps = classes.join(groups.withColumnRenamed("node", "rep"), "rep")
     reps = reps.select(F.col("rep").alias("doc_id"), F.col("root").alias("group"), F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(4 / 3)) + 1e-9).cast("int").alias("band")).distinct()
@@ -385,7 +386,7 @@ def linked_components(docs: DataFrame, n: int = SHINGLE, tile: int = TILE) -> Da
     cut = F.when(F.col("m") <= tile, 1).otherwise(F.ceil(F.col("k") / tile)).cast("int")
     bands = bands.select("group", F.when(F.col("m") <= tile, -9).otherwise(F.col("band")).alias("tile_band"), "band", "m", "k", cut.alias("cut"))
     reps = reps.join(bands, ["group", "band"]).withColumn("sub", F.pmod(F.xxhash64("doc_id"), F.col("cut")).cast("int")).withColumn("lead", (F.col("m") > tile) & (F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.greatest(F.lit(1), F.floor(F.col("k") / LEADERS))) == 0))
-    held = stage(held.join(reps.select("doc_id", "group", "tile_band", "sub", "cut", "m", "lead"), "doc_id"), "grouped")
+    held = stage(held.join(reps.select("doc_id", "group", "tile_band", "sub", "cut", "m", "lead"), "doc_id"), "grouped", [sets])
 
     own = held.select("group", "tile_band", "sub", "doc_id", F.col("doc_id").alias("label"), F.lit(0).alias("side"), "elements")
     near = bands.where(F.col("m") > tile).select("group", F.col("tile_band").alias("to_band"), "cut").distinct()
@@ -396,7 +397,7 @@ def linked_components(docs: DataFrame, n: int = SHINGLE, tile: int = TILE) -> Da
     if not near.isEmpty():
         label = components(links)
         big = held.where(F.col("m") > tile)
-        big = stage(big.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("root", "doc_id")).drop("root"), "labelled")
+        big = stage(big.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("root", "doc_id")).drop("root"), "labelled", [held])
         core = big.groupBy("group", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("group").agg(F.max_by("label", F.struct("c", "label")).alias("core"))
         rest = big.join(F.broadcast(core) if core.count() <= BROADCAST_ROWS else core, "group").where("label <> core")
         rest_cut = stage(rest.groupBy("group", "tile_band").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("rest_cut")).withColumnRenamed("tile_band", "rest_band"), "rest")
@@ -407,7 +408,7 @@ def linked_components(docs: DataFrame, n: int = SHINGLE, tile: int = TILE) -> Da
         links = links.union(stage(verified(a.union(b), ["group", "rest_band", "rest_sub", "to_band", "sub"]), "cross-links"))
 
     final = components(links.union(same.select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))))
-    final = stage(final, "components").withColumnRenamed("node", "doc_id")
+    final = stage(final, "components", [links]).withColumnRenamed("node", "doc_id")
     joined = places.join(F.broadcast(final) if final.count() <= BROADCAST_ROWS else final, "doc_id", "left")
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))
 
