@@ -200,15 +200,34 @@ def test_quality(spark):
 
 
 def test_quality_finds_the_labellers_accuracies():
+    """A made mixture: good documents, a fault that two labellers see, one that a single labeller sees."""
     import numpy as np
 
     rng = np.random.default_rng(1)
-    good = rng.random(20_000) < 0.7
-    right = np.linspace(0.6, 0.9, len(weaklabels.LABELLERS))
-    v = np.where(rng.random((20_000, len(right))) < right, 1, -1) * np.where(good, 1, -1)[:, None]
-    patterns, count = np.unique(weaklabels.pattern(v.astype(np.int8)), return_counts=True)
-    prior, p = weaklabels.estimate(weaklabels.unpattern(patterns), count.astype(float))
-    assert abs(prior - 0.7) < 0.03 and abs(p[1][:, 2] - right).max() < 0.05
+    n, kinds = 40_000, len(weaklabels.LABELLERS)
+    true = rng.choice(3, n, p=[0.85, 0.1, 0.05])
+    bad = np.full((3, kinds), 0.005)
+    bad[1, [1, 5]], bad[2, 3] = (0.8, 0.7), 0.9
+    nothing = rng.random((n, kinds)) < 0.1
+    v = np.where(rng.random((n, kinds)) < bad[true], -1, np.where(nothing, 0, 1)).astype(np.int8)
+    patterns, count = np.unique(weaklabels.pattern(v), return_counts=True)
+    share, p = weaklabels.estimate(weaklabels.unpattern(patterns), count.astype(float))
+    assert abs(share[0] - 0.86) < 0.03 and abs(p[0, :, 0] - 0.005).max() < 0.01
+    two = share[1:] @ (p[1:, 1, 0] * p[1:, 5, 0])
+    assert abs(two - 0.1 * 0.8 * 0.7) < 0.01
+    found = weaklabels.posterior(v, share, p) >= 0.5
+    assert (found == (true == 0)).mean() > 0.97
+
+
+def test_quality_by_held_out_labels(spark):
+    """Recall of either class on documents outside the sample that the scorer is fitted to."""
+    d = f"{DATA.rsplit('/', 1)[0]}/sf0.01"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    truth = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
+    sample = {r["doc_id"] for r in weaklabels.sampled(docs, 400).collect()}
+    got = [(truth[r["doc_id"]], r["predicted"]) for r in weaklabels.quality(docs, 400).collect() if r["doc_id"] in truth and r["doc_id"] not in sample]
+    good, bad = [p for t, p in got if t == 1], [p for t, p in got if t == 0]
+    assert sum(good) >= 0.95 * len(good) and bad.count(0) >= 0.75 * len(bad) and len(bad) > 15
 
 
 def test_pages():
