@@ -3,8 +3,8 @@
 Every letter has a random vector of +1 and -1.  A letter n-gram is bound from the permuted (rolled) vectors
 of its letters by multiplication; a text is the bundle (sum) of its n-grams, a language the bundle of the
 texts that are labelled with it.  A text gets the language whose prototype has the largest cosine.
-Bundling is linear, so prototypes are made from n-gram counts of all training texts, which are added up
-in a distributed way and have a fixed size for each language.
+Bundling is linear and exact in whole numbers, so every task bundles its own texts and the sums of the
+SIZE dimensions of each language are added up in the JVM, whatever the order.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from quern.llm.batches import pieces
 SIZE = 512
 CODES = 64  # letter classes: 0 for what separates words, 1-26 for a-z, the others by code point
 FOLDS = 5
+HELD = 16  # languages whose counts a task holds at once, 2 MB each
 UNKNOWN = "und"
 
 _letters = np.zeros(0, np.uint8)
@@ -59,37 +60,43 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % FOLDS == 0, F.lit(False))
 
 
-def prototypes(train: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Languages in order and the unit prototypes (SIZE by language) of rows with text and lang."""
-    chunks = 16
+def bundles(train: DataFrame) -> DataFrame:
+    """lang and the bundled vector of some of its texts; a task holds the counts of HELD languages at most."""
+
+    def bundled(lang: str, counts: np.ndarray):
+        v = np.zeros(SIZE)
+        g = np.flatnonzero(counts)
+        for at in range(0, len(g), 2048):
+            some = g[at : at + 2048]
+            v += counts[some].astype(np.float64) @ gram_vectors(some).astype(np.float64)  # whole numbers below 2 ** 53
+        return lang, v.astype(np.int64)
 
-    def count(batches):
+    def run(batches):
         sums: dict[str, np.ndarray] = {}
+
+        def flush():
+            rows = [bundled(*x) for x in sums.items()]
+            sums.clear()
+            vectors = np.concatenate([v for _, v in rows]) if rows else np.zeros(0, np.int64)
+            return pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.string()), pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * SIZE, pa.int32()), pa.array(vectors))], names=["lang", "vector"])
+
         for b in pieces(batches):
             for t, lang in zip(b.column("text").to_pylist(), b.column("lang").to_pylist()):
+                if lang not in sums and len(sums) >= HELD:
+                    yield flush()
                 g, n = gram_counts(t)
                 sums.setdefault(lang, np.zeros(CODES**3, np.int64))[g] += n
-        rows = [(lang, k, part.tobytes()) for lang, s in sums.items() for k, part in enumerate(s.reshape(chunks, -1)) if part.any()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=["lang", "chunk", "n"])
-
-    def bundle(batches):
-        sums: dict[tuple[str, int], np.ndarray] = {}
-        for b in batches:
-            for lang, k, part in zip(b.column("lang").to_pylist(), b.column("chunk").to_pylist(), b.column("n").to_pylist()):
-                part = np.frombuffer(part, np.int64)
-                sums[lang, k] = sums[lang, k] + part if (lang, k) in sums else part
-        vectors: dict[str, np.ndarray] = {}
-        for (lang, k), n in sorted(sums.items()):
-            g = np.flatnonzero(n)
-            for at in range(0, len(g), 4096):
-                some = g[at : at + 4096]
-                vectors[lang] = vectors.get(lang, 0) + n[some].astype(np.float64) @ gram_vectors(some + k * (CODES**3 // chunks)).astype(np.float64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(vectors), pa.string()), pa.array([v.tobytes() for v in vectors.values()], pa.binary())], names=["lang", "vector"])
-
-    counts = train.select("text", "lang").mapInArrow(count, "lang string, chunk int, n binary")
+        yield flush()
+
+    return train.select("text", "lang").mapInArrow(run, "lang string, vector array<bigint>")
+
+
+def prototypes(train: DataFrame) -> tuple[list[str], np.ndarray]:
+    """Languages in order and the unit prototypes (SIZE by language) of rows with text and lang; the driver holds SIZE numbers a language."""
+    added = bundles(train).select("lang", F.posexplode("vector").alias("at", "x")).groupBy("lang", "at").agg(F.sum("x").alias("x"))
     sums: dict[str, np.ndarray] = {}
-    for r in counts.repartition(16, "chunk").mapInArrow(bundle, "lang string, vector binary").toLocalIterator():
-        sums[r["lang"]] = sums.get(r["lang"], 0) + np.frombuffer(r["vector"])
+    for r in added.toLocalIterator():
+        sums.setdefault(r["lang"], np.zeros(SIZE))[r["at"]] = r["x"]
     names = sorted(sums)
     table = np.stack([sums[k] for k in names], axis=1) if names else np.zeros((SIZE, 0))
     return names, table / np.maximum(np.linalg.norm(table, axis=0), 1e-9)

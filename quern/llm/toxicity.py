@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +49,10 @@ WORDS = re.compile(r"[^\W\d_]+")
 
 
 def trigram_counts(docs: DataFrame) -> np.ndarray:
-    """Counts of letter-class trigrams (blanks included) over all texts of all documents; of fixed size."""
+    """Counts of letter-class trigrams (blanks included) over all texts of all documents; of fixed size on the driver.
+
+    A task gives a row for each trigram that it saw; they are added up in the JVM, spread over all tasks.
+    """
 
     def count(batches):
         sums = np.zeros(CODES**3, np.int64)
@@ -57,21 +61,14 @@ def trigram_counts(docs: DataFrame) -> np.ndarray:
             code = letter_codes()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.int32)
             code = code[(code > 0) | np.concatenate([[True], code[:-1] > 0])]
             sums += np.bincount(code[:-2] * CODES**2 + code[1:-1] * CODES + code[2:], minlength=CODES**3)
-        rows = [(k, x.tobytes()) for k, x in enumerate(sums.reshape(16, -1))]
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["chunk", "n"])
-
-    def add(batches):
-        sums: dict[int, np.ndarray] = {}
-        for b in batches:
-            for k, x in zip(b.column("chunk").to_pylist(), b.column("n").to_pylist()):
-                x = np.frombuffer(x, np.int64)
-                sums[k] = sums[k] + x if k in sums else x
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["chunk", "n"])
+        seen = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(sums[seen])], names=["gram", "n"])
 
-    out = np.zeros((16, CODES**3 // 16), np.int64)
-    for r in docs.select("text").mapInArrow(count, "chunk int, n binary").repartition(16, "chunk").mapInArrow(add, "chunk int, n binary").toLocalIterator():
-        out[r["chunk"]] += np.frombuffer(r["n"], np.int64)
-    return out.reshape(-1)
+    added = docs.select("text").mapInArrow(count, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    out = np.zeros(CODES**3, np.int64)
+    rows = added.toArrow()  # at most CODES ** 3 rows
+    out[rows.column("gram").to_numpy()] = rows.column("n").to_numpy()
+    return out
 
 
 class Restorer:
@@ -237,12 +234,13 @@ def learn(rows: list[tuple[set, int]]) -> tuple[dict[str, int], np.ndarray]:
     return known, w
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> list[tuple[str, int]]:
-    """At most ``limit`` (text, toxic) of labelled documents that are not held out."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> Iterator[tuple[str, int]]:
+    """At most ``limit`` (text, toxic) of labelled documents that are not held out, one text at a time."""
     picked = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", "toxic")
     picked = picked.orderBy(md5_key("toxic", F.col("doc_id")), "doc_id", "toxic").limit(limit)
     found = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").where(F.col("text").isNotNull())  # at most ``limit`` rows are broadcast
-    return [(r["text"], int(r["toxic"])) for r in found.orderBy("doc_id").select("text", "toxic").toLocalIterator()]
+    for r in found.orderBy("doc_id").select("text", "toxic").toLocalIterator():
+        yield r["text"], int(r["toxic"])
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> DataFrame:

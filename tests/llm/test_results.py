@@ -159,6 +159,30 @@ def test_toxicity(spark):
     assert sum(r["predicted"] != truth[r["doc_id"]] for r in got) <= 0.1 * len(got)
 
 
+def test_toxicity_of_held_out_documents(spark):
+    """Recall of either label on documents that nothing was learned from."""
+    d = f"{DATA.rsplit('/', 1)[0]}/sf0.1"  # smaller tables hold out too few toxic documents
+    truth = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
+    got = [(truth[r["doc_id"]], r["predicted"]) for r in toxicity.op5_toxicity(spark, d).collect() if r["held_out"] and r["doc_id"] in truth]
+    toxic, clean = [p for t, p in got if t == 1], [p for t, p in got if t == 0]
+    assert len(toxic) >= 50 and sum(toxic) >= 0.8 * len(toxic) and sum(clean) <= 0.02 * len(clean)
+
+
+def test_languages_in_many_scripts(spark):
+    """Cyrillic, Greek, Devanagari and Arabic beside Latin; counts of more languages than a task holds."""
+    rng = random.Random(6)
+    scripts = {"ru": (0x430, 32), "el": (0x3B1, 25), "hi": (0x905, 50), "ar": (0x627, 28), "en": (97, 26), "bg": (0x430, 32)}
+    words_of = {}
+    for lang, (first, n) in scripts.items():
+        letters = rng.sample(range(first, first + n), min(n, 18))
+        words_of[lang] = ["".join(chr(rng.choice(letters)) for _ in range(rng.randint(2, 8))) for _ in range(120)]
+    data = [(k, " ".join(rng.choices(words_of[lang], k=40)), lang) for k, lang in enumerate(list(scripts) * 60)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    train = df.where("doc_id % 3 <> 0").union(spark.createDataFrame([(9000 + k, f"zq{k} wx", f"x{k}") for k in range(40)], df.schema))
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(df.where("doc_id % 3 = 0"), *langid.prototypes(train)).collect()}
+    assert sum(got[k] == lang for k, _, lang in data if k in got) >= 0.95 * len(got)
+
+
 def test_disguised_words(spark):
     """Look-alikes, signs, blanks and repeated letters come back to the word, and are scored."""
     rng = random.Random(4)
