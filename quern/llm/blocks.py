@@ -4,7 +4,8 @@ A page is cut into its leaf blocks.  Every block is read as a vector: its tag pa
 words of all open elements, hashed), its hashed words, and a few shares (length, links, place).  A numpy
 bidirectional LSTM runs over all blocks of the page and labels each from the context of the whole
 document.  It is trained here, on pages made by a small grammar of site layouts with known labels, so no
-outside data and no sample of the corpus is needed.
+outside data and no sample of the corpus is needed.  A third of these pages have no names at all: bare text,
+line breaks, unclosed or deeply nested elements, with or without menus, related links and buttons.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ PATH, WORD, EXTRA = 48, 12, 8
 INPUT = PATH + WORD + EXTRA
 HIDDEN = 24
 #: Elements without displayed text of their own, skipped with all they hold.
-HIDDEN_TAGS = {"script", "style", "head", "title", "noscript", "template", "svg", "math", "iframe", "object", "select", "textarea", "button"}
+HIDDEN_TAGS = {"script", "style", "head", "title", "noscript", "template", "svg", "math", "iframe", "object", "select", "textarea"}
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe"}
 VOID = {"br", "img", "hr", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"}
 #: Elements that do not end a block.
@@ -141,7 +142,7 @@ _between = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])  # b
 
 
 def word_vectors(texts: list[str]) -> np.ndarray:
-    """For each text the sum of its hashed words' vectors over the root of their number."""
+    """For each text the sum of its hashed words' vectors over the root of their number, of length 2 at most (one word over and over)."""
     data, starts = join_texts([t.encode("utf-8", "surrogatepass") for t in texts])
     data = LOWER[data]
     edge = np.flatnonzero(np.diff(np.concatenate([[True], _between[data], [True]]).astype(np.int8)))
@@ -149,7 +150,8 @@ def word_vectors(texts: list[str]) -> np.ndarray:
     row = np.searchsorted(starts, first, "right") - 1
     v = _words[(Prefix(data).runs(first, last) % np.uint64(len(_words))).astype(np.int64)]
     count = np.maximum(np.bincount(row, minlength=len(texts)), 1)
-    return np.stack([np.bincount(row, v[:, k], len(texts)) for k in range(WORD)], axis=1) / np.sqrt(count)[:, None]
+    out = np.stack([np.bincount(row, v[:, k], len(texts)) for k in range(WORD)], axis=1) / np.sqrt(count)[:, None]
+    return out * np.minimum(1, 2 / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9))
 
 
 def block_inputs(pages: list[tuple[list[str], list[np.ndarray], list[float]]]) -> list[np.ndarray]:
@@ -238,7 +240,8 @@ class Labeller:
         """Adam over batches of (inputs, labels) in a fixed order."""
         rng = np.random.default_rng(seed)
         m, v, step = {k: 0.0 for k in self.p}, {k: 0.0 for k in self.p}, 0
-        for _ in range(epochs):
+        for epoch in range(epochs):
+            now = rate * 0.6 ** max(0, epoch - epochs // 2)  # smaller steps towards the end
             order = rng.permutation(len(pages))
             for at in range(0, len(order), size):
                 some = [pages[i] for i in order[at : at + size]]
@@ -250,7 +253,7 @@ class Labeller:
                 for k, g in self.gradients(x, mask, y).items():
                     g = np.clip(g, -1, 1)
                     m[k], v[k] = 0.9 * m[k] + 0.1 * g, 0.99 * v[k] + 0.01 * g * g
-                    self.p[k] = self.p[k] - (rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+                    self.p[k] = self.p[k] - (now * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
 
     def label(self, inputs: list[np.ndarray], size: int = 64) -> list[np.ndarray]:
         """Whether each block of each page is main text; pages of like length are run together."""
@@ -301,6 +304,10 @@ def made_page(rng: random.Random) -> tuple[str, list[bool]]:
     def lots(f, lo, hi):
         return "".join(f() for _ in range(rng.randint(lo, hi)))
 
+    def bare(lo, hi):
+        """Side text, with or without paragraphs of its own."""
+        return block(words(lo, hi), False) if rng.random() < 0.4 else lots(lambda: block(f"<p>{words(lo, hi)}</p>", False), 1, 2)
+
     link = lambda: block(f"<li><a href='/x'>{words(1, 3, '')}</a></li>", False)
     pick = rng.choice
     name = lambda *options: pick(("class", "class", "id")) + f'="{pick(options)}"'
@@ -315,16 +322,16 @@ def made_page(rng: random.Random) -> tuple[str, list[bool]]:
         return pick(("<header>{}</header>", '<div id="header">{}</div>', '<div class="site-header masthead">{}</div>', '<header class="banner top">{}</header>')).format(lots(lambda: block(f"<{(t := pick(('h1', 'p', 'div', 'a')))}>{words(1, 6, '')}</{t}><br>", False), 1, 2))
 
     def footer():
-        return pick(("<footer>{}</footer>", '<div id="footer">{}</div>', '<div class="site-footer copyright legal">{}</div>')).format(lots(lambda: block(f"<p>&copy; {words(2, 14)}</p>", False), 1, 3))
+        return pick(("<footer>{}</footer>", '<div id="footer">{}</div>', '<div class="site-footer copyright legal">{}</div>')).format(block(f"&copy; {words(1, 14)}", False) if rng.random() < 0.3 else lots(lambda: block(f"<p>&copy; {words(2, 14)}</p>", False), 1, 3))
 
     def advert():
-        return f"<{(t := pick(('div', 'aside', 'section')))} {name('ad', 'ads', 'advert', 'advertisement', 'sponsored', 'promo', 'banner-ad', 'ad-slot', 'promotion', 'sponsor')}>{lots(lambda: block(f'<p>{words(2, 25)}</p>', False), 1, 2)}</{t}>"
+        return f"<{(t := pick(('div', 'aside', 'section')))} {name('ad', 'ads', 'advert', 'advertisement', 'sponsored', 'promo', 'banner-ad', 'ad-slot', 'promotion', 'sponsor')}>{bare(2, 25)}</{t}>"
 
     def sidebar():
         return pick(("<aside>{}</aside>", '<div class="sidebar">{}</div>', '<div id="sidebar" class="widget">{}</div>', '<aside class="related">{}</aside>', '<div class="related-posts recommended">{}</div>', '<div class="share social newsletter">{}</div>')).format(block(f"<h3>{words(1, 4, '')}</h3>", False) + lots(lambda: block(f"<p>{words(2, 30)}</p>", False) if rng.random() < 0.6 else link(), 1, 4))
 
     def notice():
-        return f"<{(t := pick(('div', 'section')))} {name('cookie', 'cookie-notice', 'notice', 'cookies consent', 'gdpr', 'alert', 'modal popup', 'disclaimer', 'subscribe', 'paywall')}>{lots(lambda: block(f'<p>{words(4, 25)}</p>', False), 1, 2)}</{t}>"
+        return f"<{(t := pick(('div', 'section')))} {name('cookie', 'cookie-notice', 'notice', 'cookies consent', 'gdpr', 'alert', 'modal popup', 'disclaimer', 'subscribe', 'paywall')}>{bare(4, 25)}</{t}>"
 
     def form():
         return f"<form action='/s' {name('search', 'login', 'signup', 'subscribe')}>{block(f'<label>{words(1, 6)}</label>', False)}<input name='q'></form>"
@@ -333,11 +340,59 @@ def made_page(rng: random.Random) -> tuple[str, list[bool]]:
         one = lambda: block(f"<div {name('comment', 'reply', 'comment-body')}>{words(3, 40)}</div>", False)
         return pick(('<section id="comments">{}</section>', '<div class="comments">{}</div>', '<ol class="comment-list discussion">{}</ol>', '<section class="comments responses">{}</section>')).format((block(f"<h2>{words(1, 3, '')}</h2>", False) if rng.random() < 0.5 else "") + lots(one, 1, 5))
 
+    def related():
+        item = lambda: block(f"<li><a href='/r'>{words(2, 9, '')}</a></li>", False)
+        head = block(f"<{(t := pick(('h3', 'h4', 'p', 'strong')))}>{words(1, 4, '')}</{t}>" if rng.random() < 0.5 else f"<p>{words(2, 15)}</p>", False)
+        return f"<{(t := pick(('aside', 'aside', 'div')))} {name('related', 'related-links', 'see-also', 'recommended', 'more')}>{head}{'<ul>' + lots(item, 1, 4) + '</ul>' if rng.random() < 0.6 else ''}</{t}>"
+
+    def button():
+        return block(f"<button{pick(('', ' type=submit', ' class=btn'))}>{words(1, 4, '')}</button>", False)
+
+    def plain_body():
+        """Main text without names: bare text, line breaks, nested or unclosed elements."""
+        kind = rng.random()
+        some = lambda: words(1, 40) if rng.random() < 0.5 else words(1, 6)
+        inline = lambda t: t if rng.random() < 0.6 else f"{t} <{(i := pick(('b', 'i', 'em', 'span', 'code')))}>{words(1, 3, '')}</{i}> {words(1, 4)}"
+        count = rng.choice((1, 1, 2, 2, 3, 5, 9))
+        if kind < 0.12:
+            return block(inline(some()), True)
+        if kind < 0.15:
+            return f"<p>{block(some(), True)} {button()} {block(words(1, 8), True)}</p>"
+        if kind < 0.3:
+            return "<br>".join(block(inline(some()), True) for _ in range(count))
+        if kind < 0.45:
+            return "".join(f"<p>{block(inline(some()), True)}" for _ in range(count))
+        tag = pick(("p", "p", "div", "section", "span-div"))
+        tag = "div" if tag == "span-div" else tag
+        parts = [f"<{tag}{pick(('', '', ' class=x', ' style=\"margin:0\"', f' class=\"{pick(syllables)}{pick(syllables)}\"'))}>{block(inline(some()), True)}</{tag}>" for _ in range(count)]
+        if rng.random() < 0.3:
+            parts.insert(0, f"<{(t := pick(('h1', 'h2', 'h3')))}>{words(1, 8, '')}</{t}>")
+            labels.insert(len(labels) - count, True)
+        return "".join(parts)
+
+    def plain_page():
+        menu = nav() if rng.random() < 0.3 else ""  # labels are noted in page order
+        out = plain_body()
+        if rng.random() < 0.25:
+            out += related() if rng.random() < 0.7 else button()
+            out += plain_body() if rng.random() < 0.5 else ""
+        for _ in range(rng.choice((0, 0, 1, 2, 3, 6))):
+            out = f"<{(t := pick(('div', 'div', 'div', 'section', 'main', 'article', 'center')))}{pick(('', '', f' class=\"{pick(syllables)}\"', ' class=\"row\"', ' id=\"a1\"'))}>{out}</{t}>"
+        out = menu + out
+        if rng.random() < 0.3:
+            out += footer()
+        kind = rng.random()
+        if kind < 0.4:
+            return out
+        return f"<html>{'<head><title>' + words(1, 4) + '</title></head>' if kind < 0.8 else ''}<body>{out}</body></html>"
+
     def body():
         out = block(f"<h1>{words(2, 10, '')}</h1>", True) if rng.random() < 0.85 else ""
         for _ in range(rng.choice((1, 1, 2, 3, 5, 8, 14))):
             r = rng.random()
-            if r < 0.72:
+            if r < 0.03:
+                out += "<br>".join(block(words(1, 20), True) for _ in range(rng.randint(1, 3))) + "<hr>"
+            elif r < 0.72:
                 t = words(1, 70)
                 out += block(f"<p>{t}</p>" if rng.random() < 0.7 else f"<p><b>{t}<br>", True)
             elif r < 0.8:
@@ -348,8 +403,12 @@ def made_page(rng: random.Random) -> tuple[str, list[bool]]:
                 out += f"<blockquote>{block(words(3, 30), True)}</blockquote>"
             elif r < 0.95:
                 out += "<table><tr>" + lots(lambda: block(f"<td>{words(1, 6, '')}</td>", True), 1, 4) + "</tr></table>"
-            elif r < 0.975:
+            elif r < 0.965:
                 out += advert()
+            elif r < 0.98:
+                out += related()
+            elif r < 0.985:
+                out += button()
             else:
                 out += sidebar()
         return out
@@ -358,6 +417,8 @@ def made_page(rng: random.Random) -> tuple[str, list[bool]]:
         shell = pick(("<article>{}</article>",) * 4 + ("<main><article>{}</article></main>", "<main>{}</main>", '<div class="content">{}</div>', '<div id="content"><div class="post entry">{}</div></div>', '<div class="article-body story">{}</div>', '<section class="post-content">{}</section>', '<div id="main"><div class="text">{}</div></div>', "<div>{}</div>", "<article class='post'><div class='body'>{}</div></article>"))
         return shell.format(body())
 
+    if rng.random() < 0.3:
+        return plain_page(), labels
     top = [f for f, chance in ((header, 0.4), (nav, 0.85), (notice, 0.25), (form, 0.2), (advert, 0.5)) if rng.random() < chance]
     rng.shuffle(top)
     bottom = [f for f, chance in ((comments, 0.35), (sidebar, 0.4), (advert, 0.2), (nav, 0.15), (notice, 0.1), (form, 0.1)) if rng.random() < chance]
@@ -376,7 +437,7 @@ def made_page(rng: random.Random) -> tuple[str, list[bool]]:
 _trained: list[Labeller] = []
 
 
-def trained(pages: int = 2_000, seed: int = 11) -> Labeller:
+def trained(pages: int = 6_000, seed: int = 11) -> Labeller:
     """The labeller, trained once in a process on pages of the grammar."""
     if not _trained:
         rng = random.Random(seed)
@@ -415,4 +476,5 @@ def extract(pages: DataFrame) -> DataFrame:
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, url, text, n_chars, n_blocks, n_main of every page; a NULL or empty html has an empty text, repeated rows are read each."""
     return extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))

@@ -274,6 +274,34 @@ def test_page_text(spark):
     assert got[2] == got[3] == ("", 0)
 
 
+HAND_LABELLED = [
+    ("<div><div><div><p>First paragraph of the page here.</p><p>Second one follows it.</p></div></div></div>", "First paragraph of the page here. Second one follows it."),
+    ("<html><body><div><div><div>First paragraph of the page here.</div><div>Second one follows it with more words.</div></div></div></body></html>", "First paragraph of the page here. Second one follows it with more words."),
+    ("<p>one two three", "one two three"),
+    ("just some text without any tags at all", "just some text without any tags at all"),
+    ("<html><body>plain body text only</body></html>", "plain body text only"),
+    ('<html><body><article><h1>A</h1><p>Text2 with inline <b>abc</b> end</p><aside class="related"><p>Related stuff</p></aside><p>After it more text.</p></article></body></html>', "A Text2 with inline abc end After it more text."),
+    ('<html><body><nav><a href="/">Home</a><a href="/b">About</a></nav><div class="post"><h1>Title of it</h1><p>Real text, with <button>Click me</button> in it.</p></div><footer>Copyright 2020</footer></body></html>', "Title of it Real text, with in it."),
+]
+
+
+def test_pages_from_outside_the_grammar(spark):
+    df = spark.createDataFrame([(k, "u", h) for k, (h, _) in enumerate(HAND_LABELLED)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in blocks.extract(df).collect()}
+    assert [got[k] for k in range(len(HAND_LABELLED))] == [t for _, t in HAND_LABELLED]
+
+
+def test_pages_give_their_article(spark):
+    """Every page of sf0.1 gives the blocks inside its article element."""
+    import re
+
+    d = f"{DATA.rsplit('/', 1)[0]}/sf0.1"
+    got = {r["page_id"]: r["text"] for r in blocks.op1_html_extraction(spark, d).collect()}
+    for r in spark.read.parquet(f"{d}/pages.parquet").collect():
+        inside = re.search(r"<article[^>]*>(.*?)</article>", r["html"] or "", re.S)
+        assert got[r["page_id"]] == (" ".join(blocks.blocks_of(inside[1])[0]) if inside else ""), r["page_id"]
+
+
 def test_pieces():
     import pyarrow as pa
 
