@@ -30,6 +30,7 @@ BLOCK_WORDS = 50_000
 MAX_BLOCKS = 16_384
 SHARDS = 8
 SEED = "mix-1"
+KEY_BITS, SLICES = 60, 1024
 
 
 @dataclass
@@ -67,6 +68,21 @@ def block_of(n_blocks: Column, key: Column) -> Column:
     return F.pmod(key, n_blocks)
 
 
+def halved(uses: DataFrame, key: Column) -> DataFrame:
+    """``uses`` one level down the tree: at each node the half with the smaller keys goes left.
+
+    Ranks are exact but no task sorts a node: keys are cut into SLICES ranges, whose sizes (a table of
+    SLICES rows a node) give the rank at which each begins, and only a range is sorted.
+    """
+    cut = uses.withColumn("key", key).withColumn("slice", F.shiftright("key", KEY_BITS - SLICES.bit_length() + 1))
+    sizes = cut.groupBy("node", "slice").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("node").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("node", "slice", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"), F.sum("n").over(Window.partitionBy("node")).alias("all"))
+    place = F.row_number().over(Window.partitionBy("node", "slice").orderBy("key", F.col("source").asc_nulls_last(), "block", "use"))
+    cut = join_checked(cut.withColumn("place", place), stage(sizes, "mix-slices"), ["node", "slice"])
+    return cut.withColumn("node", F.col("node") * 2 + (F.col("before") + F.col("place") > F.ceil(F.col("all") / 2)).cast("int")).select(*uses.columns)
+
+
 def plan_mix(sizes: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST, block_words=BLOCK_WORDS, shards=SHARDS, seed=SEED) -> Mix:
     """Plan from materialised rows of (doc_id, source, size)."""
     levels = max(0, (shards - 1).bit_length())
@@ -88,10 +104,9 @@ def plan_mix(sizes: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST, block_wo
     # the tree: every use of a block goes down by random halves
     uses = blocks.select("source", "block", F.explode(F.sequence(F.lit(1), F.lit(most))).alias("use"), "passes", "part")
     uses = uses.where((F.col("use") <= F.col("passes")) | ((F.col("use") == F.col("passes") + 1) & (F.col("part") > 0))).withColumn("node", F.lit(0))
+    uses = stage(uses, "mix-uses")
     for level in range(levels):
-        here = Window.partitionBy("node")
-        place = F.row_number().over(here.orderBy(md5_key(seed, f"level{level}", F.col("source"), F.col("block"), F.col("use")), F.col("source").asc_nulls_last(), "block", "use"))
-        uses = uses.withColumn("node", F.col("node") * 2 + (place > F.ceil(F.count(F.lit(1)).over(here) / 2)).cast("int"))
+        uses = stage(halved(uses, md5_key(seed, f"level{level}", F.col("source"), F.col("block"), F.col("use"))), "mix-uses", [uses])
     to = uses.groupBy("source", "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("use", "node"))), lambda u: F.pmod(u["node"], F.lit(shards))).alias("shards"))
     blocks = blocks.select("source", "block", "start", "part").join(to.select(F.col("source").alias("s"), F.col("block").alias("b"), "shards"), F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")), "left").drop("s", "b")
     blocks = stage(blocks, "mix-blocks")
@@ -139,7 +154,11 @@ def mix_documents(docs: DataFrame, seed: str = SEED, **options) -> DataFrame:
 
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, size, source_size, target, taken, shards for every document."""
+    """doc_id, size, source_size, target, taken, shards for every document.
+
+    A NULL source is a source of its own, a NULL or empty text has size 0, rows that repeat a doc_id are taken
+    alike; an empty table gives no rows.
+    """
     sizes = stage(sizes_of(spark.read.parquet(f"{sf_dir}/documents.parquet")), "mix-sizes")
     out = with_copies(sizes, plan_mix(sizes))
     return out.select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", (F.col("size") * F.col("copies")).alias("taken"), F.concat_ws(",", F.col("shards").cast("array<string>")).alias("shards"))
