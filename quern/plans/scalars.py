@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quern.functions import scalar as S
 from quern.plans.registry import Catalogue, table
@@ -48,28 +47,18 @@ def fn_decimal_half_away(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fn_string_length_bytes_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", S.byte_length(F.col("text")).alias("bytes"), S.char_length(F.col("text")).alias("chars"))
 
+C.text("fn_concat_null_bool", "SELECT d.doc_id, CONCAT(d.lang, '-', l.toxic = 1, d.doc_id) AS c, CONCAT(d.lang, NULL) AS z FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id",
+       "SELECT d.doc_id, CASE WHEN l.toxic IS NULL THEN NULL ELSE d.lang || '-' || CASE WHEN l.toxic = 1 THEN '1' ELSE '0' END || CAST(d.doc_id AS VARCHAR) END AS c, CAST(NULL AS VARCHAR) AS z FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
 
-@C.build("SELECT d.doc_id, CASE WHEN l.toxic IS NULL THEN NULL ELSE d.lang || '-' || CASE WHEN l.toxic = 1 THEN '1' ELSE '0' END || CAST(d.doc_id AS VARCHAR) END AS c FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
-def fn_concat_null_bool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    joined = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
-    c = S.concat((F.col("lang"), T.StringType()), (F.lit("-"), T.StringType()), (F.col("toxic") == 1, T.BooleanType()), (F.col("doc_id"), T.LongType()))
-    return joined.select("doc_id", c.alias("c"))
 
+C.text("fn_substring_edges", """SELECT c_custkey, SUBSTRING(c_name, 0, 2) AS z, SUBSTRING(c_name, 3, 4) AS a, SUBSTR(c_name, -3, 3) AS b, SUBSTRING(c_name, -90, 90) AS e, SUBSTRING(c_name, 2, -1) AS n,
+  SUBSTRING(c_name, c_custkey % 5, c_custkey % 4) AS v, SUBSTRING(c_name FROM 3 FOR 4) AS f FROM customer""",
+       """SELECT c_custkey, '' AS z, substr(c_name, 3, 4) AS a, right(c_name, 3) AS b, c_name AS e, '' AS n,
+  CASE WHEN c_custkey % 5 = 0 OR c_custkey % 4 = 0 THEN '' ELSE substr(c_name, c_custkey % 5, c_custkey % 4) END AS v, substr(c_name, 3, 4) AS f FROM customer""")
 
-@C.build("""SELECT c_custkey, '' AS z, substr(c_name, 3, 4) AS a, right(c_name, 3) AS b, c_name AS e, '' AS n,
-  CASE WHEN c_custkey % 5 = 0 OR c_custkey % 4 = 0 THEN '' ELSE substr(c_name, c_custkey % 5, c_custkey % 4) END AS v FROM customer""")
-def fn_substring_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n, k = F.col("c_name"), F.col("c_custkey")
-    return table(spark, sf_dir, "customer").select(
-        "c_custkey", S.substring(n, 0, 2).alias("z"), S.substring(n, 3, 4).alias("a"), S.substring(n, -3, 3).alias("b"), S.substring(n, -90, 90).alias("e"), S.substring(n, 2, -1).alias("n"),
-        S.substring(n, (k % 5).cast("int"), (k % 4).cast("int")).alias("v"),
-    )
 
-
-@C.build("SELECT DISTINCT o_orderdate, o_orderdate + INTERVAL 1 MONTH AS m, o_orderdate - INTERVAL 1 YEAR AS y, o_orderdate + INTERVAL 90 DAY AS d, TIMESTAMP '2024-02-29 00:00:00' AS c FROM orders")
-def fn_date_interval_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ts = F.col("o_orderdate")
-    return orders(spark, sf_dir).select(ts, S.shift(ts, 1, "MONTH").alias("m"), S.shift(ts, -1, "YEAR").alias("y"), S.shift(ts, 90, "DAY").alias("d"), S.shift(S.date("2024-01-31"), 1, "MONTH").alias("c")).distinct()
+C.text("fn_date_interval_clamp", "SELECT DISTINCT o_orderdate, o_orderdate + INTERVAL '1' MONTH AS m, o_orderdate - INTERVAL '1' YEAR AS y, o_orderdate + INTERVAL '90' DAY AS d, DATE('2024-01-31') + INTERVAL '1' MONTH AS c FROM orders",
+       "SELECT DISTINCT o_orderdate, o_orderdate + INTERVAL 1 MONTH AS m, o_orderdate - INTERVAL 1 YEAR AS y, o_orderdate + INTERVAL 90 DAY AS d, TIMESTAMP '2024-02-29 00:00:00' AS c FROM orders")
 
 
 @C.build("SELECT o_orderkey, CAST(extract(year FROM o_orderdate) AS BIGINT) AS y, CAST(extract(month FROM o_orderdate) AS BIGINT) AS m, CAST(extract(day FROM o_orderdate) AS BIGINT) AS d FROM orders")
@@ -78,20 +67,13 @@ def fn_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders(spark, sf_dir).select("o_orderkey", *[S.extract(p, ts).alias(a) for p, a in (("YEAR", "y"), ("MONTH", "m"), ("DAY", "d"))])
 
 
-@C.build("SELECT o_orderkey, CAST(sign(x) * floor(abs(x) + 0.5) AS BIGINT) AS f, CAST(sign(x) * floor(abs(x) + 0.5) AS BIGINT) AS d, o_orderkey AS s FROM (SELECT o_orderkey, o_orderkey / 2.0 - 100 AS x FROM orders)")
-def fn_cast_round(spark: SparkSession, sf_dir: str) -> DataFrame:
-    half = F.col("o_orderkey") / F.lit(2.0) - 100
-    text = F.concat(F.lit("  "), F.col("o_orderkey").cast("string"), F.lit(" "))
-    return orders(spark, sf_dir).select("o_orderkey", S.to_int(half, T.DoubleType()).alias("f"), S.to_int(half.cast("decimal(12,1)"), T.DecimalType(12, 1)).alias("d"), S.to_int(text, T.StringType()).alias("s"))
+C.text("fn_cast_round", "SELECT o_orderkey, CAST(o_orderkey / 2.0 - 100 AS SIGNED) AS f, CAST(CAST(o_orderkey / 2.0 - 100 AS DECIMAL(12,1)) AS BIGINT) AS d, CAST(CONCAT('  ', o_orderkey, ' ') AS SIGNED) AS s FROM orders",
+       "SELECT o_orderkey, CAST(sign(x) * floor(abs(x) + 0.5) AS BIGINT) AS f, CAST(sign(x) * floor(abs(x) + 0.5) AS BIGINT) AS d, o_orderkey AS s FROM (SELECT o_orderkey, o_orderkey / 2.0 - 100 AS x FROM orders)")
 
 
-@C.build("SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN '1' ELSE '0' END AS b, CAST(epoch_us(o_orderdate) AS VARCHAR) AS t, o_custkey % 2 <> 0 AS n, CASE WHEN o_orderstatus = 'F' THEN true ELSE false END AS s, CAST(NULL AS BOOLEAN) AS y FROM orders")
-def fn_cast_bool_string(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flag = F.col("o_orderstatus") == "F"
-    return orders(spark, sf_dir).select(
-        "o_orderkey", S.as_text(flag, T.BooleanType()).alias("b"), S.as_text(F.col("o_orderdate"), T.TimestampNTZType()).alias("t"), S.to_bool(F.col("o_custkey") % 2, T.LongType()).alias("n"),
-        S.to_bool(F.when(flag, "TRUE").otherwise(" 0 "), T.StringType()).alias("s"), S.to_bool(F.lit("yes"), T.StringType()).alias("y"),
-    )
+C.text("fn_cast_bool_string", """SELECT o_orderkey, CAST(o_orderstatus = 'F' AS CHAR) AS b, CAST(o_orderdate AS CHAR) AS t, CAST(o_custkey % 2 AS BOOLEAN) AS n,
+  CAST(CASE WHEN o_orderstatus = 'F' THEN 'TRUE' ELSE ' 0 ' END AS BOOLEAN) AS s, CAST('yes' AS BOOLEAN) AS y FROM orders""",
+       "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN '1' ELSE '0' END AS b, CAST(epoch_us(o_orderdate) AS VARCHAR) AS t, o_custkey % 2 <> 0 AS n, CASE WHEN o_orderstatus = 'F' THEN true ELSE false END AS s, CAST(NULL AS BOOLEAN) AS y FROM orders")
 
 
 C.text("fn_coalesce_family", "SELECT d.doc_id, coalesce(l.toxic, l.quality, 9) AS c, ifnull(l.toxic, -1) AS i, nullif(l.quality, 1) AS n FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")

@@ -102,6 +102,32 @@ def table_to_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.execute("SELECT * FROM cust")
 
 
+@C.build(f"SELECT 'pinned' AS reader, * FROM ({CUST}) UNION ALL SELECT 'now', * FROM ({CUST}) WHERE k % 3 = 0")
+def snapshot_through_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pinned reader keeps its rows through deletes, a compaction, a conversion to rows and back, and garbage collection."""
+    e = customers(spark, sf_dir)
+    reader = e.session()
+    reader.execute("START TRANSACTION READ ONLY")
+    e.execute("DELETE FROM cust WHERE k % 3 = 1")
+    e.compact("cust")
+    e.to_rows("cust")
+    e.execute("DELETE FROM cust WHERE k % 3 = 2")
+    e.compact("cust")
+    e.collect_garbage()
+    pinned = reader.execute("SELECT 'pinned' AS reader, * FROM cust")
+    return pinned.unionByName(e.execute("SELECT 'now' AS reader, * FROM cust"))
+
+
+@C.build(f"SELECT k, nation, CASE WHEN k % 2 = 0 THEN 7.5::DOUBLE ELSE balance END AS balance, segment FROM ({CUST}) WHERE k % 5 <> 0")
+def reopen_engine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An engine that is opened on the path of another has its partitioned table, with layout and deltas."""
+    e = customers(spark, sf_dir, BY_NATION)
+    e.execute("UPDATE cust SET balance = 7.5 WHERE k % 2 = 0")
+    e.compact("cust")
+    e.execute("DELETE FROM cust WHERE k % 5 = 0")
+    return Engine(spark, e.path).execute("SELECT * FROM cust")
+
+
 BY_NATION = Partitioning("nation", [RangePart("low", 8), RangePart("mid", 16), RangePart("high", None)])
 LISTED = Partitioning("nation", [ListPart("even", tuple(range(0, 26, 2))), ListPart("odd", tuple(range(1, 26, 2)))])
 

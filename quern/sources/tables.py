@@ -1,12 +1,15 @@
 """Stored versioned tables: a Parquet base plus row deltas that are merged on read.
 
-A table is a folder with ``base-<version>`` and ``delta-<version>`` folders.  Delta rows carry ``_op``
-('put' or 'delete') and ``_version``; a scan at a snapshot takes the newest row of every key up to it.
-Nothing is changed in place, so a reader keeps its snapshot while writers go on.
+A table is a folder with layouts (all rows as of a version, as columns or as row deltas) and
+``delta-<version>`` folders.  Delta rows carry ``_op`` ('put' or 'delete') and ``_version``; a scan at a
+snapshot takes the newest layout up to it and the newest row of every key after that.  Nothing is changed
+in place, and older layouts stay while a snapshot needs them, so a reader keeps its rows through commits,
+compactions and conversions.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
@@ -91,6 +94,15 @@ class Partitioning:
         return out
 
 
+@dataclass(frozen=True)
+class Layout:
+    """All rows of a table as of a version: ``kind`` is columns or rows."""
+
+    version: int
+    path: str
+    kind: str
+
+
 @dataclass
 class Table:
     name: str
@@ -98,9 +110,28 @@ class Table:
     key: list[str]
     path: str
     partitioning: Partitioning | None = None
-    base: tuple[int, str] | None = None  # version and folder
+    layouts: list[Layout] = field(default_factory=list)  # by version
     deltas: list[tuple[int, str]] = field(default_factory=list)
     stats: dict | None = None
+    converting: bool = False
+
+    @property
+    def state(self) -> str:
+        """rows, columns, or converting while a new layout is being written."""
+        return "converting" if self.converting else self.layouts[-1].kind if self.layouts else "rows"
+
+    def layout_at(self, snapshot: int) -> Layout | None:
+        return next((x for x in reversed(self.layouts) if x.version <= snapshot), None)
+
+    def prune(self, oldest: int) -> list[str]:
+        """Forget layouts and deltas that no snapshot from ``oldest`` on reads; their folders."""
+        kept = self.layout_at(oldest)
+        if kept is None:
+            return []
+        gone = [x.path for x in self.layouts if x.version < kept.version] + [p for v, p in self.deltas if v <= kept.version]
+        self.layouts = [x for x in self.layouts if x.version >= kept.version]
+        self.deltas = [(v, p) for v, p in self.deltas if v > kept.version]
+        return gone
 
     def delta_schema(self) -> T.StructType:
         return T.StructType([*self.schema.fields, T.StructField(OP, T.StringType()), T.StructField(VERSION, T.LongType())])
@@ -132,13 +163,13 @@ def merge_on_read(base: DataFrame | None, delta: DataFrame | None, key: list[str
 
 def scan(spark: SparkSession, table: Table, snapshot: int, parts: list[str] | None = None, buffered: DataFrame | None = None) -> DataFrame:
     """The table's rows at a snapshot, of some partitions only if given, with a session's own buffered changes on top."""
-    base = None
-    if table.base and table.base[0] <= snapshot:
-        kept = [*table.schema.fields, *([T.StructField(PART, T.StringType())] if table.partitioning else [])]
-        base = spark.read.schema(T.StructType(kept)).parquet(table.base[1])
+    base, layout = None, table.layout_at(snapshot)
+    if layout is not None:
+        split = bool(table.partitioning) and layout.kind == "columns"
+        base = spark.read.schema(T.StructType([*table.schema.fields, *([T.StructField(PART, T.StringType())] if split else [])])).parquet(layout.path)
         if parts is not None and table.partitioning:
-            base = base.where(F.col(PART).isin(parts))
-    since = table.base[0] if base is not None else -1
+            base = base.where((F.col(PART) if split else table.partitioning.part_of(F.col(table.partitioning.column))).isin(parts))
+    since = layout.version if layout is not None else -1
     paths = [p for v, p in table.deltas if since < v <= snapshot]
     delta = spark.read.schema(table.delta_schema()).parquet(*paths) if paths else None
     if buffered is not None:
@@ -150,17 +181,17 @@ def scan(spark: SparkSession, table: Table, snapshot: int, parts: list[str] | No
     return merge_on_read(base, delta, table.key, table.columns())
 
 
-def write_base(df: DataFrame, table: Table, version: int) -> str:
-    """Write rows as a columnar base (zstd, min/max statistics; one folder for each partition)."""
-    path = f"{table.path}/base-{version}"
+def write_layout(df: DataFrame, table: Table, version: int, kind: str = "columns") -> Layout:
+    """Write all rows as of a version: as columns (zstd, min/max statistics, a folder for each partition) or as rows of a delta."""
+    path = f"{table.path}/{kind}-{version}-{uuid.uuid4().hex[:8]}"
     out = df.select(*table.columns())
-    writer = out
-    if table.partitioning:
-        writer = out.withColumn(PART, table.partitioning.part_of(F.col(table.partitioning.column)))
-        writer.write.option("compression", "zstd").partitionBy(PART).parquet(path)
+    if kind == "rows":
+        out = out.withColumns({OP: F.lit("put"), VERSION: F.lit(version).cast("long")})
+    if kind == "columns" and table.partitioning:
+        out.withColumn(PART, table.partitioning.part_of(F.col(table.partitioning.column))).write.option("compression", "zstd").partitionBy(PART).parquet(path)
     else:
-        writer.write.option("compression", "zstd").parquet(path)
-    return path
+        out.write.option("compression", "zstd").parquet(path)
+    return Layout(version, path, kind)
 
 
 def write_delta(df: DataFrame, table: Table, version: int) -> str:
@@ -170,23 +201,36 @@ def write_delta(df: DataFrame, table: Table, version: int) -> str:
     return path
 
 
-def check_rows(df: DataFrame, table: Table) -> None:
-    """Refuse NULL keys, equal keys, and values outside all partitions; one aggregation each."""
-    bad = df.select([F.max(F.col(f.name).isNull()).alias(f.name) for f in table.schema.fields if not f.nullable]).first()
-    for name, found in (bad.asDict() if bad else {}).items():
-        if found:
-            raise TableError(f"column {name} cannot be NULL")
-    if not df.groupBy(*table.key).count().where("count > 1").isEmpty():
+def check_rows(df: DataFrame, table: Table) -> int:
+    """The number of rows; refuses NULL keys, equal keys, and values outside all partitions.  One aggregation by key and one over it.
+
+    ``df`` should be a stage, so that what is checked is what is written.
+    """
+    must = [f.name for f in table.schema.fields if not f.nullable]
+    outside = table.partitioning.part_of(F.col(table.partitioning.column)).isNull() if table.partitioning else F.lit(False)
+    flags = {f"null_{i}": F.max(F.col(c).isNull().cast("int")) for i, c in enumerate(must)} | {"outside": F.max(outside.cast("int"))}
+    by_key = df.groupBy(*table.key).agg(F.count(F.lit(1)).alias("rows_of_key"), *[x.alias(n) for n, x in flags.items()])
+    row = by_key.agg(F.coalesce(F.sum("rows_of_key"), F.lit(0)).alias("all_rows"), F.coalesce(F.max("rows_of_key"), F.lit(0)).alias("most"), *[F.max(n).alias(n) for n in flags]).first()
+    for i, c in enumerate(must):
+        if row[f"null_{i}"]:
+            raise TableError(f"column {c} cannot be NULL")
+    if row["most"] > 1:
         raise TableError("duplicate key in one statement")
-    if table.partitioning and not df.where(table.partitioning.part_of(F.col(table.partitioning.column)).isNull()).isEmpty():
+    if row["outside"]:
         raise TableError("a value is in no partition")
+    return row["all_rows"]
 
 
 def analyze(df: DataFrame, distinct_cap: int = 200_000) -> dict:
-    """row_count, and null_count, min, max and distinct count (None above the cap) of every column, in one pass."""
+    """row_count, and null_count, min, max and distinct count (None above the cap) of every column.
+
+    Distinct values are estimated for all columns in the same pass; only columns whose estimate is near or
+    below the cap are counted exactly, so no wide or unique column is shuffled.
+    """
     aggs = [F.count(F.lit(1)).alias("row_count")]
     for c in df.columns:
-        aggs += [F.sum(F.col(c).isNull().cast("long")).alias(f"null:{c}"), F.min(c).alias(f"min:{c}"), F.max(c).alias(f"max:{c}"), F.countDistinct(c).alias(f"distinct:{c}")]
+        aggs += [F.sum(F.col(c).isNull().cast("long")).alias(f"null:{c}"), F.min(c).alias(f"min:{c}"), F.max(c).alias(f"max:{c}"), F.approx_count_distinct(c).alias(f"about:{c}")]
     row = df.agg(*aggs).first().asDict()
-    cols = {c: {"null_count": row[f"null:{c}"] or 0, "min": row[f"min:{c}"], "max": row[f"max:{c}"], "distinct": d if (d := row[f"distinct:{c}"]) <= distinct_cap else None} for c in df.columns}
+    exact = {c: df.select(c).where(F.col(c).isNotNull()).distinct().limit(distinct_cap + 1).count() for c in df.columns if row[f"about:{c}"] <= 1.25 * distinct_cap}
+    cols = {c: {"null_count": row[f"null:{c}"] or 0, "min": row[f"min:{c}"], "max": row[f"max:{c}"], "distinct": d if (d := exact.get(c)) is not None and d <= distinct_cap else None} for c in df.columns}
     return {"row_count": row["row_count"], "columns": cols}
