@@ -240,7 +240,9 @@ def matched(cuts: DataFrame, length: int) -> DataFrame:
         if held:
             yield from grams(pa.Table.from_batches(held).combine_chunks())
 
-    near = cuts.where("NOT hot").select(*SAME, "token", "offset", "bytes").repartitionByRange("token", "gram").sortWithinPartitions("token", *SAME)
+    # a given number of buckets: sorting costs far more than reading, so buckets must not be merged by their bytes
+    buckets = int(cuts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    near = cuts.where("NOT hot").select(*SAME, "token", "offset", "bytes").repartitionByRange(buckets, "token", "gram").sortWithinPartitions("token", *SAME)
     return near.mapInArrow(match, "gram long, c1 long, c2 long, from int, to int")
 
 
