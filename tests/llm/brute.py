@@ -49,3 +49,25 @@ def repeated_bytes(rows, length=400):
         runs = sum(g and (k == 0 or not gone[k - 1]) for k, g in enumerate(gone))
         out.append((i, len(b), len(b) - len(kept), runs, hashlib.sha256(kept).hexdigest()))
     return sorted(out)
+
+
+def without_repeats(rows, length):
+    """(doc_id, text) rows without their repeated bytes; rows of which nothing is left go."""
+    texts = [(i, (t or "").encode()) for i, t in rows]
+    seen = Counter(b[p : p + length] for _, b in texts for p in range(len(b) - length + 1))
+    out = []
+    for i, b in texts:
+        gone = set()
+        for p in range(len(b) - length + 1):
+            if seen[b[p : p + length]] > 1:
+                gone.update(range(p, p + length))
+        left = bytes(c for k, c in enumerate(b) if k not in gone).decode("utf-8", "ignore")
+        if left or not gone:
+            out.append((i, left if gone else b.decode()))
+    return out
+
+
+def near_copies_gone(rows):
+    """The rows whose document is the smallest of its component."""
+    root = {i: r for i, _, r in jaccard_components(rows)}
+    return [(i, t) for i, t in rows if root[i] == i]
