@@ -11,8 +11,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -117,10 +116,11 @@ class Restorer:
 
 
 class Reader:
-    """From texts to the restored words' features."""
+    """From texts to the numbers of the restored words' features; without ``known`` names every one is numbered as it comes."""
 
     def __init__(self, counts: np.ndarray, known: dict[str, int] | None = None):
         self.restorer, self.known = Restorer(counts), known
+        self.numbers: dict[str, int] = {} if known is None else known
         self.seen: dict[str, tuple] = {}
         self.single = {DOUBLED.sub(r"\1", n) for n in known or ()}
         self.whole = [n for n in known or () if len(n) >= 5 and n[-1] != "*"]
@@ -180,12 +180,16 @@ class Reader:
             found = self.decoded(token) if len(token) <= LONG else self.decoded_long(token)
             if len(token) > LONG:  # words as they stand, which pieces may cut
                 found.update(n for w in WORDS.findall(token.lower()) for n in self.names(w))
-            got = tuple(found) if self.known is None else tuple(self.known[n] for n in found if n in self.known)
-            self.seen[token] = got
+            got = self.seen[token] = tuple(self.numbered(found))
         return got
 
-    def features(self, text: str) -> set:
-        out: set = set()
+    def numbered(self, names: Iterable[str]) -> list[int]:
+        if self.known is None:
+            return [self.numbers.setdefault(n, len(self.numbers)) for n in names]
+        return [self.known[n] for n in names if n in self.known]
+
+    def features(self, text: str) -> set[int]:
+        out: set[int] = set()
         for got in map(self.token, set(text.split())):
             if got:
                 out.update(got)
@@ -197,30 +201,30 @@ class Reader:
                 part = run[max(0, at - 40) : at + 120]
                 joined = "".join(WORDS.findall(part)).lower()
                 for w in [*self.restorer.restore(part).split(), *self.restorer.restore(joined).split()]:
-                    out.update(self.names(w) if self.known is None else (self.known[n] for n in self.names(w) if n in self.known))
+                    out.update(self.numbered(self.names(w)))
                 if self.known is not None:
                     out.update(self.known[n] for n in self.whole if n in joined)
         return out
 
 
-def learn(rows: list[tuple[set, int]]) -> tuple[dict[str, int], np.ndarray]:
-    """Features by name and their weights (the last is the offset) from sets of names and labels."""
+def learn(rows: list[tuple[np.ndarray, int]], names: list[str]) -> tuple[dict[str, int], np.ndarray]:
+    """Features by name and their weights (the last is the offset) from numbers of names and labels."""
     y = np.array([t for _, t in rows], np.float64)
     n_pos, n_neg = y.sum(), len(y) - y.sum()
-    pos, neg = Counter(), Counter()
-    for names, t in rows:
-        (pos if t else neg).update(names)
-    gain = {}
-    for f, p in pos.items():
-        if p >= 4:
-            odds = math.log((p + 0.5) / (n_pos + 1)) - math.log((neg[f] + 0.5) / (n_neg + 1))
-            if odds > 1.5:
-                gain[f] = odds * math.sqrt(p)
+    pos, neg = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
+    for found, t in rows:
+        (pos if t else neg)[found] += 1
+    odds = np.log((pos + 0.5) / (n_pos + 1)) - np.log((neg + 0.5) / (n_neg + 1))
+    gain = {names[f]: odds[f] * math.sqrt(pos[f]) for f in np.flatnonzero((pos >= 4) & (odds > 1.5)).tolist()}
     known = {f: i for i, f in enumerate(sorted(gain, key=lambda f: (-gain[f], f))[:FEATURES])}
+    place = np.full(len(names), -1)
+    for number, name in enumerate(names):
+        place[number] = known.get(name, -1)
     x = np.zeros((len(rows), len(known) + 1))
     x[:, -1] = 1
-    for r, (names, _) in enumerate(rows):
-        x[r, [known[f] for f in names if f in known]] = 1
+    for r, (found, _) in enumerate(rows):
+        at = place[found]
+        x[r, at[at >= 0]] = 1
     w = np.zeros(x.shape[1])
     w[-1] = math.log((n_pos + 1) / (n_neg + 1))
     ridge = np.full(len(w), 0.3)
@@ -252,7 +256,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> DataFra
     """
     counts = trigram_counts(docs)
     reader = Reader(counts)
-    known, w = learn([(reader.features(t), y) for t, y in labelled_sample(docs, labels, limit)])
+    rows = [(np.fromiter(reader.features(t), np.int32), y) for t, y in labelled_sample(docs, labels, limit)]
+    known, w = learn(rows, list(reader.numbers))
+    del reader, rows
     w[-1] = min(w[-1], math.log(0.499 / 0.501))
     model = docs.sparkSession.sparkContext.broadcast((counts.astype(np.float32), known, w))
 
