@@ -88,6 +88,41 @@ def test_jaccard(spark, tile):
     assert rows(jaccard.linked_components(df, tile=tile)) == brute.jaccard_components(data)
 
 
+def test_jaccard_in_turns(spark):
+    """Small parts and many turns of the cross tiles give the same classes; rows that repeat a doc_id with another text are one node."""
+    data = [tuple(r) for r in documents(spark).collect()] + made_documents()
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    assert rows(jaccard.linked_components(df, tile=16, part=20_000, turn=0.1)) == brute.jaccard_components(data)
+    twice = df.union(df.where("doc_id BETWEEN 1000 AND 1119").selectExpr("doc_id", "concat(text, ' and more')"))
+    assert {r["component_id"] for r in jaccard.linked_components(twice).where("doc_id BETWEEN 1000 AND 1119").collect()} == {1000}
+
+
+def test_jaccard_holds_no_whole_sets(spark, monkeypatch):
+    """Where every document has near copies, the working tables together never reach the size of the texts."""
+    import os
+
+    from quern.llm import components
+    from quern.sources import stage as stages
+
+    rng = random.Random(8)
+    base = [" ".join(str(rng.randrange(10**5)) for _ in range(1500)) for _ in range(60)]
+    data = [(100 * k + c, f"{text} copy{c}") for k, text in enumerate(base) for c in range(4)]
+    before, most = stages.staged(), [0]
+
+    def measured(df, label, done=()):
+        out = stages.stage(df, label)  # with the tables that it replaces
+        mine = [p.removeprefix("file://") for p in stages.staged() - before]
+        most[0] = max(most[0], sum(os.path.getsize(f"{p}/{f}") for p in mine for f in os.listdir(p)))
+        stages.release(*done)
+        return out
+
+    monkeypatch.setattr(jaccard, "stage", measured)
+    monkeypatch.setattr(components, "stage", measured)
+    got = rows(jaccard.linked_components(spark.createDataFrame(data, "doc_id long, text string")))
+    assert got == [(i, 1497, i // 100 * 100) for i, _ in data]
+    assert 0 < most[0] < sum(len(t) for _, t in data)
+
+
 @pytest.mark.parametrize("hot", [2, 2000])
 def test_suffix(spark, hot):
     data = [tuple(r) for r in documents(spark).limit(60).collect()] + made_documents()
