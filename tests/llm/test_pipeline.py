@@ -47,3 +47,30 @@ def test_run_equals_plain_versions(spark, duck):
     want = sorted((i, t, int(s)) for i, t in texts for s in shards[i].split(",") if s)
     got = sorted((r["doc_id"], r["text"], r["mix_shard"]) for r in corpus_pipeline.run(spark, DATA).collect())
     assert len(good) < len(rows) and leaked and got == want
+
+
+def test_near_copies_need_less_than_the_texts(spark, monkeypatch):
+    """The second stage on documents that all have near copies: the first of each stays, and its working tables are smaller than the texts."""
+    import os
+    import random
+
+    from quern.llm import components
+    from quern.sources import stage as stages
+
+    rng = random.Random(9)
+    base = [" ".join(str(rng.randrange(10**5)) for _ in range(1500)) for _ in range(40)]
+    data = [(100 * k + c, f"{text} copy{c}", "en", "s") for k, text in enumerate(base) for c in range(4)]
+    before, most = stages.staged(), [0]
+
+    def measured(df, label, done=()):
+        out = stages.stage(df, label)  # with the tables that it replaces
+        mine = [p.removeprefix("file://") for p in stages.staged() - before]
+        most[0] = max(most[0], sum(os.path.getsize(f"{p}/{f}") for p in mine for f in os.listdir(p)))
+        stages.release(*done)
+        return out
+
+    monkeypatch.setattr(jaccard, "stage", measured)
+    monkeypatch.setattr(components, "stage", measured)
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string")
+    assert sorted(map(tuple, corpus_pipeline.near_copies(spark, docs, DATA).collect())) == data[::4]
+    assert 0 < most[0] < sum(len(x[1]) for x in data)
