@@ -88,6 +88,28 @@ def test_jaccard(spark, tile):
     assert rows(jaccard.linked_components(df, tile=tile)) == brute.jaccard_components(data)
 
 
+def test_jaccard_turns_hold_the_copied_texts(spark, monkeypatch):
+    """Texts that go to tiles are copied a turn at a time, by their bytes; a bitmap instead of broadcast ids changes nothing."""
+    rng = random.Random(12)
+    base = [" ".join(str(rng.randrange(10**5)) for _ in range(60)) for _ in range(60)]
+    data = [(10 * k + c, f"{text} copy{c}" + f" {text}" * (20 if k < 20 else 1)) for k, text in enumerate(base) for c in range(4)]
+    whole = sum(len(t) for _, t in data)
+    copied = []
+    with_texts = jaccard.with_texts
+
+    def seen(texts, rows):
+        out = with_texts(texts, rows)
+        copied.append(sum(len(r["text"]) for r in out.select("text").collect()))
+        return out
+
+    monkeypatch.setattr(jaccard, "with_texts", seen)
+    monkeypatch.setattr(jaccard, "BROADCAST_IDS", 10)
+    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", 10)
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    assert rows(jaccard.linked_components(df, turn=0.4)) == brute.jaccard_components(data)
+    assert len(copied) == 3 and max(copied) < 0.7 * whole and sum(copied) == whole
+
+
 def test_jaccard_in_turns(spark):
     """Small parts and many turns of the cross tiles give the same classes; rows that repeat a doc_id with another text are one node."""
     data = [tuple(r) for r in documents(spark).collect()] + made_documents()
