@@ -157,7 +157,8 @@ def analyze_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = customers(spark, sf_dir)
     e.execute("ANALYZE TABLE cust")
     s = e.tables["cust"].stats
-    rows = [(c, s["row_count"], s["columns"][c]["null_count"], str(s["columns"][c]["min"]), s["columns"][c]["distinct"]) for c in ("balance", "segment")]
+    text = lambda v: None if v is None else str(v)
+    rows = [(c, s["row_count"], s["columns"][c]["null_count"], text(s["columns"][c]["min"]), s["columns"][c]["distinct"]) for c in ("balance", "segment")]
     return spark.createDataFrame(rows, "name string, n_rows long, nulls long, lo string, n_distinct long")
 
 

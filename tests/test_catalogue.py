@@ -46,3 +46,17 @@ def test_whole_tables(spark):
     assert sum(n for _, n in got("join_null_keys_whole")) > sum(n for _, n in got("join_null_keys"))
     assert len(got("join_bigint_precision_whole")) > len(got("join_bigint_precision"))
     assert CATALOGUE.queries["join_full_whole"](spark, DATA).count() > CATALOGUE.queries["join_full"](spark, DATA).count()
+
+
+@pytest.mark.parametrize("case", ["many", "nulls", "empty"])
+def test_statistics_of_any_table(spark, tmp_path, case):
+    """analyze_stats against its SQL: over 200,000 balances, no balance at all, no row."""
+    import duckdb
+
+    n = {"many": 300_000, "nulls": 3, "empty": 0}[case]
+    balance = "CASE WHEN id % 7 > 0 THEN id / 100 - 999.99 END" if case == "many" else "CAST(NULL AS DOUBLE)"
+    spark.range(n).selectExpr("id AS c_custkey", "CAST(id % 25 AS INT) AS c_nationkey", f"CAST({balance} AS DOUBLE) AS c_acctbal", "CONCAT('S', id % 5) AS c_mktsegment").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW customer AS SELECT * FROM read_parquet('{tmp_path}/customer.parquet/*.parquet')")
+    got = CATALOGUE.queries["analyze_stats"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(con.execute(CATALOGUE.sql["analyze_stats"]).fetchall())
