@@ -207,3 +207,15 @@ def test_recursion_limits(spark):
 def test_explain(engine):
     plan = engine.execute("EXPLAIN SELECT grp, count(*) AS n FROM r GROUP BY grp").collect()
     assert plan[0]["parent_id"] is None and any("Aggregate" in r["operation"] for r in plan)
+
+
+def test_statistics_have_no_switch(spark):
+    """One more value than a former limit changes the counts by one, in base rows and deltas."""
+    e = Engine(spark)
+    e.register("big", spark.range(200_000).selectExpr("id AS k", "CAST(id AS STRING) AS s", "CAST(id % 3 AS INT) AS g"), ["k"])
+    for n, add in [(200_000, None), (200_001, "(200000, 'one', NULL)"), (200_001, "(200000, '7', NULL)")]:
+        if add:
+            e.execute(f"INSERT INTO big VALUES {add}")
+        assert e.execute("ANALYZE TABLE big").affected == n
+        c = e.tables["big"].stats["columns"]
+        assert [(c[x]["distinct"], c[x]["null_count"]) for x in "ksg"] == [(n, 0), (200_000 if add and "7" in add else n, 0), (3, int(n > 200_000))]
